@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubetally.llm import quality, toxicity
+from cubetally.llm import quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": quality.query,
+    "op6_secret_scans": secrets.query,
     "op7_toxicity": toxicity.query,
 }
 
