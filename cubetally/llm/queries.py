@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubetally.llm import quality, secrets, toxicity
+from cubetally.llm import binary, edits, packing, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_output": binary.query,
     "op4_quality_classifier": quality.query,
     "op6_secret_scans": secrets.query,
     "op7_toxicity": toxicity.query,
+    "op9_packing": packing.query,
+    "op10_token_counts": edits.query,
 }
 
 ORACLES: dict[str, str] = {}
