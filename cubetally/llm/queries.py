@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubetally.llm import binary, edits, packing, quality, secrets, toxicity
+from cubetally.llm import binary, edits, packing, pii, quality, secrets, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_output": binary.query,
+    "op3_exact_topk": topk.query,
     "op4_quality_classifier": quality.query,
     "op6_secret_scans": secrets.query,
     "op7_toxicity": toxicity.query,
+    "op8_pii": pii.query,
     "op9_packing": packing.query,
     "op10_token_counts": edits.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_exact_topk": topk.ORACLE}
