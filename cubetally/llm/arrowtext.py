@@ -123,10 +123,10 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int = SHINGLE) -> t
     dest[:] = full
     out[np.repeat(dest, out_n)] = mix64(every[np.cumsum(keep[:-1]) > 0])
     for r in np.flatnonzero((count > 0) & ~full):
-        h = np.uint64(count[r])
-        for w in words[bounds[r] : bounds[r + 1]]:
-            h = mix64(np.array([h * _MULT + w], np.uint64))[0]
-        out[at[r]] = h
+        h = np.array([count[r]], np.uint64)
+        for w in range(bounds[r], bounds[r + 1]):
+            h = mix64(h * _MULT + words[w : w + 1])
+        out[at[r]] = h[0]
     return out, at
 
 
