@@ -1,7 +1,8 @@
 """Corpus pipeline: toxicity, near duplicates, benchmark decontamination, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a
-DataFrame; all but the last return the columns of ``documents``.
+DataFrame; all but the last return the columns of ``documents``.  ``run`` writes each stage's result to
+the shared folder and reads it again, so that no stage is computed twice.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubetally.llm import toxicity
+from cubetally.llm import decontaminate, jaccard, packing, pii, toxicity
+from cubetally.llm.shared import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,15 +20,41 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("toxicity", drop_toxic)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the least doc_id stays."""
+    return jaccard.one_of_each_group(docs)
 
-#: Classifiers, BPE tokenisation and packing have no SQL form; tests hold the stages against brute force.
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in text gives way to its kind in brackets; n_chars follows."""
+    return pii.redacted(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences of what is left, one row a piece."""
+    return packing.packed(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal data", redact_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: Trained classifiers and BPE tokenisation have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other on ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
