@@ -175,7 +175,7 @@ def index(documents: DataFrame, frequent: Frequent) -> DataFrame:
         names = [f.split()[0] for f in ENTRIES.split(", ")]
         seen: set[tuple[int, int, int]] = set()  # one entry a document of this task
         for b in batches:
-            ids, known = b.column(0).fill_null(0).to_numpy(), b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            ids, known = np.array(b.column(0).fill_null(0)), b.column(0).is_valid().to_numpy(zero_copy_only=False)
             keys, salts, docs, ns, prefixes, size = [], [], [], [], [], 0
 
             def flush() -> pa.RecordBatch:
@@ -194,8 +194,8 @@ def index(documents: DataFrame, frequent: Frequent) -> DataFrame:
                 for k, salt, prefix in ((rare, np.zeros(len(rare), np.int64), len(rare)), (combos, None, -1)):
                     if len(k):
                         if salt is None:
-                            own = int(mix64(np.array([ids[r]]).view(np.uint64))[0])
-                            salt = own % np.maximum(1, estimate // SALT_ROWS)
+                            own = mix64(ids[r : r + 1].view(np.uint64))
+                            salt = (own % np.maximum(1, estimate // SALT_ROWS).astype(np.uint64)).astype(np.int64)
                         keys.append(k)
                         salts.append(salt)
                         docs.append(int(ids[r]))
