@@ -72,15 +72,16 @@ class PieceEncoder:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.pool, self.first, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self.used = 0  # of pool; the arrays have room to grow, so that a few new pieces do not copy them
 
     def _learn(self, pieces: list[str]) -> np.ndarray:
         """Index of each piece in the pool; new ones are encoded."""
         known = self.known
-        new = [p for p in pieces if p not in known]
+        new = [p for p in dict.fromkeys(pieces) if p not in known]
         if len(known) + len(new) > CACHE_PIECES and known:
             self._clear()
-            known, new = self.known, pieces
+            known, new = self.known, list(dict.fromkeys(pieces))
         if new:
             flat, size = [], []
             for k in range(0, len(new), 8192):  # one call for many pieces; word_ids tells whose each id is
@@ -88,9 +89,16 @@ class PieceEncoder:
                 flat.append(np.array(got.ids, np.uint32))
                 size.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(new[k : k + 8192])))
             flat, size = np.concatenate(flat), np.concatenate(size)
-            begin = len(self.pool) + np.cumsum(size) - size
-            known.update(zip(new, range(len(self.first), len(self.first) + len(new)), strict=True))
-            self.pool, self.first, self.count = np.concatenate([self.pool, flat]), np.concatenate([self.first, begin]), np.concatenate([self.count, size])
+            begin = self.used + np.cumsum(size) - size
+            n = len(known)
+            known.update(zip(new, range(n, n + len(new)), strict=True))
+            for name, at, values in (("pool", self.used, flat), ("first", n, begin), ("count", n, size)):
+                have = getattr(self, name)
+                if at + len(values) > len(have):
+                    have = np.concatenate([have[:at], np.zeros(at + 2 * len(values), have.dtype)])
+                    setattr(self, name, have)
+                have[at : at + len(values)] = values
+            self.used += len(flat)
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
     def pieces(self, column: pa.Array):
