@@ -1,4 +1,4 @@
-"""All queries of the count engine and their DuckDB equivalents, collected from the plan modules."""
+"""All queries of the count engine and their DuckDB equivalents, collected from the query modules."""
 
 from __future__ import annotations
 
@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cubetally.queries import exact, region_queries, synopses
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _module in (exact, region_queries, synopses):
+    QUERIES |= _module.Q
+    ORACLES |= _module.SQL
