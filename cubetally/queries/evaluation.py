@@ -142,7 +142,7 @@ def category_predicate(spark: SparkSession, sf: str) -> DataFrame:
     return workload.category_for(workload.value_frequencies(li(spark, sf), ["c2"]), 0.1)
 
 
-@query("numeric_predicate", f"WITH {LI_SQL}, p AS (SELECT count(*) FILTER (i0 < 500) / count(*)::DOUBLE + 0.2 AS p FROM li), o AS (SELECT i0, row_number() OVER (ORDER BY i0) - 1 AS k FROM li), w AS (SELECT p * ((SELECT count(*) FROM li) - 1) AS at FROM p), h AS (SELECT CAST(floor((SELECT i0 FROM o, w WHERE k = floor(at)) + (at - floor(at)) * ((SELECT i0 FROM o, w WHERE k = ceil(at)) - (SELECT i0 FROM o, w WHERE k = floor(at)))) AS BIGINT) AS hi FROM w) SELECT 500::BIGINT AS lo, hi, round(avg(CASE WHEN i0 BETWEEN 500 AND hi THEN 1.0 ELSE 0 END), 9) AS selectivity FROM li, h GROUP BY hi")
+@query("numeric_predicate", f"WITH {LI_SQL}, p AS (SELECT count(*) FILTER (i0 < 500) / count(*)::DOUBLE + 0.2 AS p FROM li), o AS (SELECT i0, row_number() OVER (ORDER BY i0) - 1 AS k FROM li), w AS (SELECT p * ((SELECT count(*) FROM li) - 1) AS place FROM p), h AS (SELECT CAST(floor((SELECT i0 FROM o, w WHERE k = floor(place)) + (place - floor(place)) * ((SELECT i0 FROM o, w WHERE k = ceil(place)) - (SELECT i0 FROM o, w WHERE k = floor(place)))) AS BIGINT) AS hi FROM w) SELECT 500::BIGINT AS lo, hi, round(avg(CASE WHEN i0 BETWEEN 500 AND hi THEN 1.0 ELSE 0 END), 9) AS selectivity FROM li, h GROUP BY hi")
 def numeric_predicate(spark: SparkSession, sf: str) -> DataFrame:
     return workload.range_for(li(spark, sf), "i0", 500, 0.2).withColumn("selectivity", F.round("selectivity", 9))
 

@@ -28,4 +28,4 @@ def current(spark, layout: Layout, path: str) -> DataFrame:
 
 def windowed_counts(stream: DataFrame, time: str, late: str, window: str, by: list[str]) -> DataFrame:
     """Counts a window and group with a watermark; rows later than ``late`` are left out."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, window), *by).agg(F.count("*").alias("n"))
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window), *by).agg(F.count("*").alias("n"))
