@@ -262,7 +262,21 @@ def subset_inclusion_exclusion(spark: SparkSession, sf: str) -> DataFrame:
 BITS = 6
 
 
-@query("hilbert_index")
+def _hilbert_sql(points: str) -> str:
+    """CTE h(px, py, d): the curve index of ``points`` (x, y), a quadrant a step."""
+    last = (1 << BITS) - 1
+    return f"""pts AS ({points}), s(px, py, k, x, y, d) AS (
+      SELECT x, y, {BITS - 1}, x, y, CAST(0 AS BIGINT) FROM pts
+      UNION ALL
+      SELECT px, py, k - 1,
+        CASE WHEN ry = 0 THEN (CASE WHEN rx = 1 THEN {last} - y ELSE y END) ELSE x END,
+        CASE WHEN ry = 0 THEN (CASE WHEN rx = 1 THEN {last} - x ELSE x END) ELSE y END,
+        d + (CAST(1 AS BIGINT) << (2 * k)) * xor(3 * rx, ry)
+      FROM (SELECT *, (x >> k) & 1 AS rx, (y >> k) & 1 AS ry FROM s WHERE k >= 0)
+    ), h AS (SELECT px, py, d FROM s WHERE k = -1)"""
+
+
+@query("hilbert_index", f"WITH RECURSIVE {LI_SQL}, {_hilbert_sql('SELECT DISTINCT CAST(floor(i0 / 64.0) AS BIGINT) AS x, i2 AS y FROM li WHERE floor(i0 / 64.0) BETWEEN 0 AND 63 AND i2 BETWEEN 0 AND 63')} SELECT px AS x, py AS y, d AS h, count(*) AS n FROM h JOIN li ON floor(i0 / 64.0) = px AND i2 = py GROUP BY ALL")
 def hilbert_index(spark: SparkSession, sf: str) -> DataFrame:
     """Curve index of each (day, quantity) cell; tests hold it against the defining properties."""
     c = li(spark, sf).select(level_index(F.col("i0"), 2, 6).alias("x"), F.col("i2").alias("y")).where("x between 0 and 63 and y between 0 and 63").groupBy("x", "y").agg(F.count("*").alias("n"))
@@ -279,7 +293,7 @@ def hilbert_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return r.agg(F.sum(F.col("end") - F.col("start") + 1).cast("long").alias("covered"), (F.count("*") == F.count_distinct("start")).alias("apart"))
 
 
-@query("hilbert_ranges")
+@query("hilbert_ranges", f"WITH RECURSIVE {_hilbert_sql(f'SELECT x, y FROM range({LO[0]}, {HI[0] + 1}) a(x), range({LO[1]}, {HI[1] + 1}) b(y)')}, g AS (SELECT d, d - row_number() OVER (ORDER BY d) AS run FROM h) SELECT min(d) AS start, max(d) AS end FROM g GROUP BY run")
 def hilbert_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return hilbert.ranges(hilbert.box_points(spark, LO, HI), BITS)
 
