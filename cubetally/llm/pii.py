@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubetally.llm.arrowtext import slices
+from cubetally.llm.arrowtext import releasing, slices
 
 # fixed values: kinds in their listed order, and the base patterns
 KINDS = ("email", "ip", "card", "phone")
@@ -296,7 +296,10 @@ def fit(texts: list[str]) -> Field:
 def train(documents: DataFrame, text: str = "text") -> Field:
     """Fit on the SAMPLE documents with a candidate whose text hashes are the smallest."""
     some = documents.select(F.col(text).alias("text")).where(F.length("text") <= MAX_CHARS).where(F.rlike("text", F.lit("[0-9]{3}|@")))
-    some = some.orderBy(F.xxhash64("text"), "text").limit(SAMPLE).repartition(1)
+    some = some.withColumn("h", F.xxhash64("text"))
+    # only hashes are ordered; the texts of the SAMPLE least ones are fetched once each, however often they repeat
+    pick = some.select("h").distinct().orderBy("h").limit(SAMPLE)
+    some = some.join(F.broadcast(pick), "h").groupBy("h").agg(F.min("text").alias("text")).select("text").repartition(1)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = sorted({t for b in batches for t in b.column(0).to_pylist()})
@@ -304,7 +307,7 @@ def train(documents: DataFrame, text: str = "text") -> Field:
             field = fit(texts)
             yield pa.RecordBatch.from_arrays([pa.array([field.weights.tobytes()], pa.binary()), pa.array([field.follow.tobytes()], pa.binary())], ["weights", "follow"])
 
-    got = some.mapInArrow(task, "weights binary, follow binary").collect()
+    got = some.mapInArrow(releasing(task), "weights binary, follow binary").collect()
     if not got:
         return Field()
     return Field(np.frombuffer(got[0]["weights"]).reshape(BUCKETS, -1), np.frombuffer(got[0]["follow"]).reshape(len(LABELS), -1))
@@ -352,7 +355,7 @@ def pii_spans(documents: DataFrame, field: Field | None = None) -> DataFrame:
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], [f.split()[0] for f in schema.split(", ")])
 
-    return documents.select("doc_id", "text").mapInArrow(task, schema)
+    return documents.select("doc_id", "text").mapInArrow(releasing(task), schema)
 
 
 def redact(t: str, spans: list[Span]) -> str:
@@ -390,7 +393,7 @@ def redacted(documents: DataFrame, field: Field | None = None) -> DataFrame:
                 b = b.set_column(at, b.schema.field(at), pa.array(new, texts.type))
             yield b
 
-    out = documents.mapInArrow(task, documents.schema)
+    out = documents.mapInArrow(releasing(task), documents.schema)
     if "n_chars" in names:
         kind = documents.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
