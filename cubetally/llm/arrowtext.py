@@ -140,3 +140,26 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.n
             if len(s) > 1:
                 s = s[np.concatenate([[True], s[1:] != s[:-1]])]
             yield first + r, s
+
+
+def release() -> None:
+    """Hand freed memory back to the system at the end of a task: workers are reused, and others need it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def releasing(task):
+    """A mapInArrow function that ends with ``release``."""
+
+    def run(batches):
+        yield from task(batches)
+        release()
+
+    return run

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cubetally.llm.arrowtext import releasing
 from cubetally.llm.rangecoder import decode_blocks, encode_blocks
 from cubetally.llm.shared import new_path
 from cubetally.llm.tokens import crc_ids, default_path, encoder
@@ -112,7 +113,7 @@ def token_rows(documents: DataFrame, path: str, kind: str, end_id: int) -> DataF
                 packed = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, edges, data])
                 yield pa.RecordBatch.from_arrays([names.slice(first, len(bounds) - 1), pa.array(np.diff(bounds)), packed], ["doc_id", "n_ids", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(task, "doc_id long, n_ids long, ids binary")
+    return documents.select("doc_id", "text").mapInArrow(releasing(task), "doc_id long, n_ids long, ids binary")
 
 
 def write_tokens(documents: DataFrame, target: str, path: str, kind: str = "byte", end_id: int = 2, shards: int | None = None) -> None:
@@ -145,7 +146,7 @@ def write_tokens(documents: DataFrame, target: str, path: str, kind: str = "byte
         if names:
             yield row()
 
-    rows.mapInArrow(task, SECTIONS).write.mode("overwrite").option("compression", "none").parquet(target)
+    rows.mapInArrow(releasing(task), SECTIONS).write.mode("overwrite").option("compression", "none").parquet(target)
 
 
 def sum_reached(counts: list[int]) -> bool:
@@ -173,7 +174,7 @@ def read_tokens(spark: SparkSession, source: str, with_ids: bool = False) -> Dat
                     columns.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return sections.select("shard", "start", "payload").mapInArrow(task, schema)
+    return sections.select("shard", "start", "payload").mapInArrow(releasing(task), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubetally.llm.arrowtext import SHINGLE, mix64, shingle_hashes, shingle_sets, slices, word_hashes
+from cubetally.llm.arrowtext import mix64, releasing, SHINGLE, shingle_hashes, shingle_sets, slices, word_hashes
 
 THRESHOLD = (75, 100)
 BLOCK_SHINGLES = 1_000_000
@@ -139,7 +139,7 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = list(zip(*got, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.float64()], strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])
 
-        part = documents.select("doc_id", "text").mapInArrow(task, SCHEMA)
+        part = documents.select("doc_id", "text").mapInArrow(releasing(task), SCHEMA)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -160,7 +160,7 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep[[r for r, _, _ in contained(b.column(at), items)]] = False
                 yield b.filter(pa.array(keep))
 
-        out = out.mapInArrow(task, documents.schema)
+        out = out.mapInArrow(releasing(task), documents.schema)
     return out
 
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cubetally.llm.arrowtext import releasing
 from cubetally.llm.tokens import PieceEncoder, default_path, encoder, piece_starts
 
 LEAF = 16
@@ -158,7 +159,7 @@ def edited_counts(documents: DataFrame, path: str | None = None, kind: str = "by
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in columns]], [f.split()[0] for f in COUNTS.split(", ")])
 
-    return documents.select("doc_id", "text", "edits").mapInArrow(task, COUNTS)
+    return documents.select("doc_id", "text", "edits").mapInArrow(releasing(task), COUNTS)
 
 
 def standing_edits(documents: DataFrame) -> DataFrame:

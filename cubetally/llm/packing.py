@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from cubetally.llm.arrowtext import releasing
 from cubetally.llm.tokens import crc_ids, default_path, encoder
 
 TIERS = (2048, 1024, 512, 256)
@@ -152,7 +153,7 @@ def packed(documents: DataFrame, path: str | None = None, kind: str = "word", en
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from packed_batches(batches, path, kind, end_id, TaskContext.get().partitionId())
 
-    return documents.select("doc_id", "text").mapInArrow(task, SCHEMA)
+    return documents.select("doc_id", "text").mapInArrow(releasing(task), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

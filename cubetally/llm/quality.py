@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from cubetally.llm import charfeatures as cf
-from cubetally.llm.arrowtext import slices
+from cubetally.llm.arrowtext import releasing, slices
 from cubetally.llm.labels import training_rows, with_fold
 
 ORDERS = (3, 4)
@@ -113,7 +113,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", folds
         yield pa.RecordBatch.from_arrays([pa.array([logits.tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["logits", "bias"])
 
     sample = training_rows(documents, labels, label, folds, held_out, PER_CLASS, MAX_CHARS)
-    got = sample.repartition(1).mapInArrow(task, "logits binary, bias double").collect()
+    got = sample.repartition(1).mapInArrow(releasing(task), "logits binary, bias double").collect()
     if not got:
         return Model(np.zeros(1 << BITS, np.float32), 0.0)
     return Model(np.frombuffer(got[0]["logits"], np.float32), got[0]["bias"])
@@ -131,7 +131,7 @@ def score(documents: DataFrame, model: Model, text: str = "text", threshold: flo
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, "score", "predicted"])
 
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return documents.select(*[documents[f.name] for f in kept]).mapInArrow(task, schema)
+    return documents.select(*[documents[f.name] for f in kept]).mapInArrow(releasing(task), schema)
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _PUNCTUATION = _ASCII_INK & ~_LETTER
 _PUNCTUATION[0x30:0x3A] = False
-CACHE_PIECES = 900_000
+CACHE_PIECES = 700_000
 
 
 def default_path(name: str) -> str:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubetally.llm import charfeatures as cf
-from cubetally.llm.arrowtext import slices
+from cubetally.llm.arrowtext import releasing, slices
 from cubetally.llm.labels import training_rows, with_fold
 
 ORDERS = (3, 4, 5)
@@ -125,7 +125,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(buckets, -1)), pa.array(np.append(weights, bias))], ["bucket", "weight"])
 
     sample = training_rows(documents, labels, label, folds, held_out, PER_CLASS, MAX_CHARS)
-    got = sample.repartition(1).mapInArrow(task, "bucket long, weight double").toPandas()
+    got = sample.repartition(1).mapInArrow(releasing(task), "bucket long, weight double").toPandas()
     real = got[got.bucket >= 0]
     return Model(real.bucket.to_numpy(), real.weight.to_numpy(), float(got.weight[got.bucket < 0].sum()))
 
@@ -144,7 +144,7 @@ def score(documents: DataFrame, model: Model, text: str = "text", threshold: flo
     from pyspark.sql import types as T
 
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return documents.select(*[documents[f.name] for f in kept]).mapInArrow(task, schema)
+    return documents.select(*[documents[f.name] for f in kept]).mapInArrow(releasing(task), schema)
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
