@@ -15,10 +15,12 @@ the class decides the order only, so any class is right as long as all tasks use
   is indexed in both.
 
 Verification goes in two rounds.  First, neighbours in each index bucket (by size and id) that meet often
-are verified, which joins most copies; second, within each bucket, pairs that are still in different
-components, that pass the size filter and (rare buckets) the count filter - shared prefix tokens plus the
-larger rest must reach the overlap needed - are verified.  No link between different texts is lost: a pair
-is left out only if it is already connected or cannot be similar.  Pairs inside a component are not expanded.
+are verified, which joins most copies.  Second, within buckets that still hold several components: in rare
+buckets, pairs of different components that pass the size and the count filter (shared prefix tokens plus the
+larger rest must reach the overlap needed) are verified, by 16-bit digests and then exactly; in combination
+buckets, the documents outside a cluster's largest component are compared with the cluster in blocks.  No link
+between different texts is lost: a pair is left out only if it is already connected or cannot be similar.
+Pairs inside a component are not expanded.
 
 Exact copies (same set by two 64-bit set hashes and size) are one class from the start.  Hot combination
 buckets are salted by their estimated frequency.
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubetally.llm.arrowtext import SHINGLE, mix64, shingle_sets
+from cubetally.llm.arrowtext import mix64, releasing, SHINGLE, shingle_sets
 from cubetally.llm.components import components
 from cubetally.llm.shared import written
 
@@ -101,7 +103,7 @@ def scan(documents: DataFrame) -> DataFrame:
         zero = np.zeros(int(keep.sum()), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 1), pa.array(summary.tokens[keep].view(np.int64)), pa.array(summary.counts[keep]), pa.array(zero), pa.array(zero)], names)
 
-    return documents.select("doc_id", "text").mapInArrow(task, SCANNED)
+    return documents.select("doc_id", "text").mapInArrow(releasing(task), SCANNED)
 
 
 class Frequent:
@@ -208,7 +210,7 @@ def index(documents: DataFrame, frequent: Frequent) -> DataFrame:
             if keys:
                 yield flush()
 
-    return documents.select("doc_id", "text").mapInArrow(task, ENTRIES)
+    return documents.select("doc_id", "text").mapInArrow(releasing(task), ENTRIES)
 
 
 MEMBERS = "key long, salt int, doc long, n int, prefix int, before long, before_n int, head boolean"
@@ -245,24 +247,65 @@ def chained(entries: DataFrame) -> DataFrame:
         linked = as_before[at]
         yield pa.RecordBatch.from_arrays([*[pa.array(c[n][at]) for n in ("key", "salt", "doc", "n", "prefix")], pa.array(c["doc"][prev], mask=~linked), pa.array(c["n"][prev], mask=~linked), pa.array(~linked)], [f.split()[0] for f in MEMBERS.split(", ")])
 
-    return entries.mapInArrow(task, MEMBERS)
+    return entries.mapInArrow(releasing(task), MEMBERS)
 
 
-def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The (u, v) of ``pairs`` that link, by exact set comparison."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("want")).distinct()
+def wanted(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the rows whose id is in ``ids`` (want); broadcast up to BROADCAST_IDS ids, joined beyond."""
     few = ids.count() <= BROADCAST_IDS
-    some = documents.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("want"), "left_semi")
+    return documents.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("want"), "left_semi")
+
+
+def token_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, tokens) of the documents in ``ids``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r, s in shingle_sets(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(r, 1), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], ["doc", "tokens"])
 
-    found = some.mapInArrow(sets, "doc long, tokens array<long>")
+    return wanted(documents, ids).mapInArrow(releasing(sets), "doc long, tokens array<long>")
+
+
+def plausible(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The (u, v) of ``pairs`` that 16-bit token digests do not rule out.
+
+    Tokens of u whose digest occurs in v are at least the shared tokens, so this drops no link; it ships a
+    quarter of the bytes of the exact sets.
+    """
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("want")).distinct()
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r, s in shingle_sets(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(r, 1), pa.array([(mix64(s) >> np.uint64(48)).astype(np.uint16).tobytes()], pa.binary())], ["doc", "digest"])
+
+    found = wanted(documents, ids).mapInArrow(releasing(digests), "doc long, digest binary")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << 16, bool)
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for r in range(b.num_rows):
+                x, y = (np.frombuffer(b.column(c)[r].as_buffer(), np.uint16) for c in (2, 3))
+                table[y] = True
+                most = int(table[x].sum())
+                table[y] = False
+                keep[r] = most * SIMILAR[1] >= SIMILAR[0] * (len(x) + len(y) - most)
+            yield b.select([0, 1]).filter(pa.array(keep))
+
+    left = found.select(F.col("doc").alias("u"), F.col("digest").alias("a"))
+    right = found.select(F.col("doc").alias("v"), F.col("digest").alias("b"))
+    return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long").distinct()
+
+
+def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The (u, v) of ``pairs`` that link, by exact set comparison."""
+    some = written(plausible(documents, pairs), "jaccard-plausible")
+    found = token_sets(documents, some.select(F.explode(F.array("u", "v")).alias("want")).distinct())
     left = found.select(F.col("doc").alias("u"), F.col("tokens").alias("a"))
     right = found.select(F.col("doc").alias("v"), F.col("tokens").alias("b"))
-    both = pairs.select("u", "v").join(left, "u").join(right, "v")
+    both = some.join(left, "u").join(right, "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(shared * SIMILAR[1] >= SIMILAR[0] * (F.size("a") + F.size("b") - shared)).select("u", "v").distinct()
 
@@ -288,20 +331,69 @@ def neighbours(members: DataFrame) -> DataFrame:
     return met.where((F.col("prefix") < 0) | (F.col("times") * 3 >= F.col("prefix"))).select("u", "v")
 
 
-def remaining(members: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
-    """(u, v): pairs of a bucket that are in different components and may still be similar."""
+def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, doc, n, prefix, root) in buckets that still hold more than one component."""
     m = members.join(roots, members["doc"] == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc")).select("key", "doc", "n", "prefix", "root")
     split = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("key").alias("open_key"))
-    m = m.join(split, F.col("key") == F.col("open_key"), "left_semi")
-    a, b = m.alias("a"), m.alias("b")
+    return m.join(split, F.col("key") == F.col("open_key"), "left_semi")
+
+
+def remaining(still: DataFrame, tried: DataFrame) -> DataFrame:
+    """(u, v): pairs of a rare bucket that are in different components and may still be similar."""
+    rare = still.where("prefix >= 0")
+    a, b = rare.alias("a"), rare.alias("b")
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.doc") < F.col("b.doc")) & (F.col("a.root") != F.col("b.root")) & sizes_fit(F.col("a.n"), F.col("b.n"))
-    met = a.join(b, on).groupBy(F.col("a.doc").alias("u"), F.col("b.doc").alias("v")).agg(
-        F.count("*").alias("times"), F.max("a.n").alias("un"), F.max("b.n").alias("vn"), F.max("a.prefix").alias("up"), F.max("b.prefix").alias("vp"), F.min("a.prefix").alias("least_prefix")
-    )
+    met = a.join(b, on).groupBy(F.col("a.doc").alias("u"), F.col("b.doc").alias("v")).agg(F.count("*").alias("times"), F.max("a.n").alias("un"), F.max("b.n").alias("vn"), F.max("a.prefix").alias("up"), F.max("b.prefix").alias("vp"))
     # at most this many tokens are shared: those of both rare prefixes, and what lies behind the shorter reach
     most = F.col("times") + F.greatest(F.col("un") - F.col("up"), F.col("vn") - F.col("vp"))
-    met = met.where((F.col("least_prefix") < 0) | (most >= overlap_needed(F.col("un"), F.col("vn"))))
-    return met.select("u", "v").join(tried.select("u", "v"), ["u", "v"], "left_anti")
+    return met.where(most >= overlap_needed(F.col("un"), F.col("vn"))).select("u", "v").join(tried.select("u", "v"), ["u", "v"], "left_anti")
+
+
+LEFT_BLOCK, RIGHT_BLOCK = 512, 2048
+
+
+def straggler_links(documents: DataFrame, still: DataFrame) -> DataFrame:
+    """(u, v): links across components within the open combination buckets.
+
+    Documents that share such buckets, directly or through others, are a cluster.  Its documents outside the
+    largest component meet all of the cluster in blocks of LEFT_BLOCK x RIGHT_BLOCK documents: a document
+    travels once a block it meets, and only links leave a block, one for a document and component.
+    """
+    m = still.where("prefix < 0").select("key", "doc", "root").distinct()
+    stars = m.groupBy("key").agg(F.min("doc").alias("v")).join(m, "key").select(F.col("doc").alias("u"), "v")
+    clusters = components(stars).select(F.col("node").alias("doc"), F.col("root").alias("cluster"))
+    docs = written(m.select("doc", "root").distinct().join(clusters, "doc"), "jaccard-clusters")
+    main = docs.groupBy("cluster", "root").agg(F.count("*").alias("size")).groupBy("cluster").agg(F.max(F.struct("size", F.col("root").alias("main"))).alias("top"), F.sum("size").alias("all"))
+    main = main.select("cluster", "top.main", "all", F.ceil((F.col("all") - F.col("top.size")) / LEFT_BLOCK).cast("int").alias("lefts"), F.ceil(F.col("all") / RIGHT_BLOCK).cast("int").alias("rights")).where("lefts > 0")
+    placed = docs.join(main, "cluster")
+    own = F.xxhash64("doc")
+    left = placed.where("root <> main").select("cluster", "doc", "root", F.pmod(own, F.col("lefts")).cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("r"), F.lit(0).alias("side"))
+    right = placed.select("cluster", "doc", "root", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("l"), F.pmod(own, F.col("rights")).cast("int").alias("r"), F.lit(1).alias("side"))
+    sets = token_sets(documents, docs.select(F.col("doc").alias("want")).distinct()).withColumnRenamed("doc", "d")
+    met = left.unionByName(right)
+    met = met.join(sets, met["doc"] == sets["d"]).select("cluster", "l", "r", "side", "doc", "root", "tokens")
+
+    def block(t: pa.Table) -> pa.Table:
+        side, doc, root = (t[c].to_numpy() for c in ("side", "doc", "root"))
+        tokens = t["tokens"].combine_chunks()
+        tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
+        size = np.asarray(tokens.value_lengths()).astype(np.int64)
+        _, code = np.unique(tokens.flatten().to_numpy(), return_inverse=True)
+        edge = np.append(0, np.cumsum(size))
+        mark = np.zeros(int(code.max()) + 1, np.int32)
+        found = []
+        for i in np.flatnonzero(side == 0):
+            own = code[edge[i] : edge[i + 1]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[code], edge[:-1])
+            mark[own] = 0
+            hit = np.flatnonzero((side == 1) & (root != root[i]) & (shared * SIMILAR[1] >= SIMILAR[0] * (size + size[i] - shared)))
+            _, first = np.unique(root[hit], return_index=True)
+            found += [(doc[i], doc[j]) for j in hit[first]]
+        u, v = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
+        return pa.table({"u": u, "v": v})
+
+    return met.groupBy("cluster", "l", "r").applyInArrow(block, "u long, v long").distinct()
 
 
 def linked_groups(documents: DataFrame) -> DataFrame:
@@ -321,8 +413,12 @@ def linked_groups(documents: DataFrame) -> DataFrame:
     first = written(neighbours(members), "jaccard-first")
     links = written(verified(documents, first).unionByName(copies), "jaccard-links")
     roots = written(components(links), "jaccard-roots")
-    second = written(remaining(members, roots, first), "jaccard-second")
-    more = written(verified(documents, second), "jaccard-more")
+    still = written(open_members(members, roots), "jaccard-open")
+    second = written(remaining(still, first), "jaccard-second")
+    more = verified(documents, second)
+    if still.where("prefix < 0").limit(1).count():
+        more = more.unionByName(straggler_links(documents, still))
+    more = written(more, "jaccard-more")
     if more.limit(1).count():
         star = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
         roots = written(components(star.unionByName(more)), "jaccard-all-roots")
