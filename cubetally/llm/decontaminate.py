@@ -5,8 +5,12 @@ THRESHOLD of them.  A short item's Jaccard similarity to a long document is tiny
 partitioned by size: items by the power of two L above n (L/2 <= n < L), documents, for each such class, into
 cells of L shingles in text order.  Each item and each cell gets a one-permutation MinHash: 2 * L bins by
 hash, the least hash of each bin.  An item and a document with an equal minimum in a bin are candidates, and
-the exact containment over the whole document decides.  With 2 * L bins an item that lies in a document shares
-minima with its one or two cells many times over; a miss needs all of them to be displaced.
+the exact containment over the whole document decides.  A shared shingle is displaced from its bin in a cell
+with a chance near 1/5, and a miss needs all shared minima to be displaced: about 1/5 to the power of their number.
+
+Items of fewer than SMALL shingles have too few minima for that and are searched without loss: a document with
+k of an item's n shingles has one of any n - k + 1 of them, so that many of each item (those in the fewest items)
+are indexed themselves, and every document shingle is looked up.
 
 The items of one block (BLOCK_SHINGLES shingles at most, or one item) are broadcast; a larger benchmark is
 searched in several blocks.  Documents stream through one map stage a block, with no shuffle.
@@ -29,17 +33,19 @@ from cubetally.llm.arrowtext import mix64, releasing, SHINGLE, shingle_hashes, s
 
 THRESHOLD = (75, 100)
 BLOCK_SHINGLES = 1_000_000
+SMALL = 32
 SCHEMA = "doc_id long, item_id long, n_item long, n_shared long, containment double"
 
 
 class Items:
-    """Shingle sets of one block of test items, with the MinHash index by size class."""
+    """Shingle sets of one block of test items, with the MinHash index by size class and the shingle index of small items."""
 
     def __init__(self, ids: list, sets: list[np.ndarray]):
         self.ids, self.sets = ids, sets
         by_class: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        small = [i for i, s in enumerate(sets) if 0 < len(s) < SMALL]
         for i, s in enumerate(sets):
-            if len(s):
+            if len(s) >= SMALL:
                 size = 1 << int(len(s)).bit_length()
                 by_class.setdefault(size, []).append((minima(s, np.zeros(len(s), np.int64), size)[1], i))
         #: size class -> (sorted minima, item of each)
@@ -49,6 +55,19 @@ class Items:
             owner = np.repeat([i for _, i in found], [len(m) for m, _ in found])
             order = np.argsort(values, kind="stable")
             self.index[size] = values[order], owner[order]
+        #: (sorted shingles, item of each), enough of each small item that no document with THRESHOLD of it lacks them all
+        self.shingles = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if small:
+            every, uses = np.unique(np.concatenate([sets[i] for i in small]), return_counts=True)
+            num, den = THRESHOLD
+            found = []
+            for i in small:
+                s = sets[i]
+                rare = np.argsort(uses[np.searchsorted(every, s)], kind="stable")
+                found.append(s[rare[: len(s) + (-num * len(s)) // den + 1]])
+            values, owner = np.concatenate(found), np.repeat(small, [len(f) for f in found])
+            order = np.argsort(values, kind="stable")
+            self.shingles = values[order], owner[order]
 
 
 def minima(hashes: np.ndarray, cells: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +107,14 @@ def cell_minima_in(hashes: np.ndarray, at: np.ndarray, size: int, known: np.ndar
     return of_label[c[ok]], m[ok]
 
 
+def shingles_in(hashes: np.ndarray, at: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle) of every shingle that is in ``known`` (sorted)."""
+    if not len(known):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
+    return np.searchsorted(at, hit, "right") - 1, hashes[hit]
+
+
 def contained(column: pa.Array, items: Items) -> Iterator[tuple[int, int, int]]:
     """(row, item, shared shingles) of each contained item."""
     num, den = THRESHOLD
@@ -97,8 +124,9 @@ def contained(column: pa.Array, items: Items) -> Iterator[tuple[int, int, int]]:
         if not len(hashes):
             continue
         pairs: set[tuple[int, int]] = set()
-        for size, (values, owner) in items.index.items():
-            rows, m = cell_minima_in(hashes, at, size, values)
+        found = [(*items.shingles, *shingles_in(hashes, at, items.shingles[0]))]
+        found += [(values, owner, *cell_minima_in(hashes, at, size, values)) for size, (values, owner) in items.index.items()]
+        for values, owner, rows, m in found:
             lo, hi = np.searchsorted(values, m, "left"), np.searchsorted(values, m, "right")
             pairs.update((int(r), int(owner[k])) for r, p, q in zip(rows, lo, hi, strict=True) for k in range(p, q))
         own: dict[int, np.ndarray] = {}
@@ -133,7 +161,7 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for b in batches:
-                rows = list(contained(b.column(1), items)) if items.index else []
+                rows = list(contained(b.column(1), items)) if items.sets else []
                 names = b.column(0)
                 got = [(names[r].as_py(), items.ids[i], len(items.sets[i]), n, n / len(items.sets[i])) for r, i, n in rows]
                 columns = list(zip(*got, strict=True)) or [[]] * 5
@@ -156,7 +184,7 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             items = shared.value
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                if items.index:
+                if items.sets:
                     keep[[r for r, _, _ in contained(b.column(at), items)]] = False
                 yield b.filter(pa.array(keep))
 

@@ -106,6 +106,28 @@ def test_decontamination(spark):
     assert decontaminate.matches(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_like_by_brute_force():
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [words(rng.choice([1, 3, 5, 5, 6, 7, 9, 12, 20, 33, 36])) for _ in range(1500)]
+    docs = [words(rng.randrange(200)) + w[: len(w) if k % 2 else max(1, -(-len(w) * 4 // 5))] + words(rng.randrange(200)) for k, w in enumerate(texts)] + [w for w in texts if len(w) < 5]
+    texts, docs = [" ".join(w) for w in texts], [" ".join(w) for w in docs]
+    sets = [s for _, s in decontaminate.shingle_sets(pa.array(texts))]
+    of: dict = {}
+    for k, t in enumerate(texts):
+        for s in shingles(t):
+            of.setdefault(s, []).append(k)
+    want = set()
+    for r, t in enumerate(docs):
+        shared: dict = {}
+        for s in shingles(t):
+            for k in of.get(s, ()):
+                shared[k] = shared.get(k, 0) + 1
+        want |= {(r, k, n) for k, n in shared.items() if 100 * n >= 75 * len(shingles(texts[k]))}
+    got = list(decontaminate.contained(pa.array(docs), decontaminate.Items(list(range(len(texts))), sets)))
+    assert len(want) > 900 and len(got) == len(set(got)) and set(got) == want
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "CHUNK", 16)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
