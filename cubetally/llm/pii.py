@@ -3,8 +3,10 @@
 Base spans (email, ip, card, phone) follow fixed patterns, matched in linear time.  The field labels
 segments of one to MOST_WORDS words as one of these kinds or as background.  Its features look at a whole
 segment (shape, digit count, Luhn sum, separators, words beside it), and a dynamic program over bounded
-segments chooses boundaries and kinds jointly.  Background words score 0, so only stretches around words
-with a digit or an at sign need the program; the best path elsewhere is background.
+segments chooses boundaries and kinds jointly.  Background words score 0, so only stretches around triggers
+need the program: digits, at signs, "[at]", "(at)", and "at" before a word with a dot in it or a "dot" after it.
+A window reaches MOST_WORDS - 1 words to both sides of a trigger, so that it has every segment with one; the
+best path elsewhere is background.
 
 The weights are trained here, by gradient steps on the exact log-likelihood (forward and backward sums over
 segmentations) of a bounded sample: SAMPLE documents with candidates, labelled by the base patterns, plus
@@ -22,13 +24,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubetally.llm.arrowtext import releasing, slices
+from cubetally.llm.arrowtext import _SPACE, first_flags, releasing, slices
 
 # fixed values: kinds in their listed order, and the base patterns
 KINDS = ("email", "ip", "card", "phone")
@@ -90,8 +93,13 @@ def base_spans(t: str) -> list[Span]:
 
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-TRIGGER = re.compile(r"[0-9@]")
+_GAP = r"[\x20\x09-\x0D]"
+TRIGGER = re.compile(  # one class first: the search skips to it
+    r"[0-9@\[(Aa](?:(?<=[0-9@])|(?<=[\[(])[Aa][Tt][\])]|(?<=[Aa])[Tt](?<![^\x20\x09-\x0D]..)"
+    rf"(?={_GAP}+[^\x20\x09-\x0D.]+(?:\.[A-Za-z0-9]|{_GAP}+[Dd][Oo][Tt](?![^\x20\x09-\x0D])|{_GAP}*[\[(][Dd][Oo][Tt][\])])))"
+)
 SHAPE = [(re.compile(r"[A-Z]+"), "A"), (re.compile(r"[a-zÀ-\U0010ffff]+"), "a")]
+SPACES = " \t\n\v\f\r"
 EDGE = "\"'.,;:!?|*$%&#<>{}"
 
 
@@ -108,33 +116,63 @@ def bucket(feature: str) -> int:
     return h % BUCKETS
 
 
+def trimmed(t: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The extent of a word without edge punctuation; none if nothing else is in it."""
+    s = t[a:b]
+    left, right = len(s) - len(s.lstrip(EDGE)), len(s.rstrip(EDGE))
+    return [(a + left, a + right)] if left < right else []
+
+
+def words_from(t: str, at: int) -> Iterator[tuple[int, int]]:
+    for w in WORD.finditer(t, at):
+        yield from trimmed(t, *w.span())
+
+
+def words_before(t: str, to: int, lowest: int, most: int) -> list[tuple[int, int]]:
+    """The last ``most`` words that end before ``to`` and do not begin before ``lowest``."""
+    out: list[tuple[int, int]] = []
+    while len(out) < most:
+        while to > lowest and t[to - 1] in SPACES:
+            to -= 1
+        if to == lowest:
+            break
+        end = to
+        while to > lowest and t[to - 1] not in SPACES:
+            to -= 1
+        out += trimmed(t, to, end)
+    return out[::-1]
+
+
 def windows(t: str) -> Iterator[list[tuple[int, int]]]:
-    """Word extents (edge punctuation trimmed) of stretches around words with a digit or an at sign."""
-    at, n = 0, len(t)
-    while m := TRIGGER.search(t, at):
-        words: list[tuple[int, int]] = []
-        start = m.start()
-        while start > 0 and t[start - 1] not in " \t\n\v\f\r":
-            start -= 1
-        before = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]+\Z").search(t, max(at, start - 60), start)
-        quiet, pos = 0, before.start() if before else start
-        for w in WORD.finditer(t, pos):
-            quiet = 0 if TRIGGER.search(t, w.start(), w.end()) else quiet + 1
-            words.append(w.span())
-            if (quiet > 1 and w.start() > m.start()) or len(words) >= 64:
+    """Word extents (edge punctuation trimmed) of stretches around words with a trigger."""
+    reach = MOST_WORDS - 1
+    words: list[tuple[int, int]] = []
+    end = lowest = 0  # of the last word in words, which has a trigger; of the window before
+    for m in TRIGGER.finditer(t):
+        if m.start() < end:
+            continue
+        ahead: list[tuple[int, int]] = []
+        for w in words_from(t, end) if words else ():
+            ahead.append(w)
+            if w[1] > m.start() or len(ahead) > 2 * reach:
                 break
-        at = max(words[-1][1], m.end())
-        trimmed = []
-        for a, b in words:
-            s = t[a:b]
-            left = len(s) - len(s.lstrip(EDGE))
-            right = len(s.rstrip(EDGE))
-            if left < right:
-                trimmed.append((a + left, a + right))
-        if trimmed:
-            yield trimmed
-        if at >= n:
-            break
+        if ahead and ahead[-1][1] > m.start():
+            if len(words) >= 64:
+                yield words
+                words = []
+            words += ahead
+        else:  # windows this far apart share no word
+            if words:
+                words += ahead[:reach]
+                lowest = words[-1][1]
+                yield words
+            start = m.start()
+            while start > lowest and t[start - 1] not in SPACES:
+                start -= 1
+            words = [*words_before(t, start, lowest, reach), next(words_from(t, start))]
+        end = words[-1][1]
+    if words:
+        yield words + list(islice(words_from(t, end), reach))
 
 
 def segment_features(t: str, words: list[tuple[int, int]], i: int, j: int) -> list[int]:
@@ -322,14 +360,19 @@ def all_spans(t: str, field: Field) -> tuple[list[Span], list[Span]]:
 
 _TOUCHED = np.zeros(256, bool)
 _TOUCHED[[0x40, *range(0x30, 0x3A)]] = True
+_BEFORE_AT, _AFTER_AT = _SPACE.copy(), _SPACE.copy()
+_BEFORE_AT[[0x28, 0x5B]] = _AFTER_AT[[0x29, 0x5D]] = True
 
 
 def touched(column: pa.Array) -> list[int]:
-    """Rows whose text has a digit or an at sign; no other row can have a span."""
+    """Rows whose text has a digit, an at sign or a word "at", bare or in brackets; no other row can have a span."""
     out: list[int] = []
     for first, _, raw, offs in slices(column):
-        hits = np.flatnonzero(_TOUCHED[raw])
-        out += (first + np.unique(np.searchsorted(offs, hits, "right") - 1)).tolist()
+        hit = _TOUCHED[raw]
+        low = raw | 0x20
+        at = np.flatnonzero((low[:-2] == 0x61) & (low[1:-1] == 0x74) & _AFTER_AT[raw[2:]])
+        hit[at[_BEFORE_AT[raw[at - 1]] | first_flags(len(raw), offs)[at]]] = True
+        out += (first + np.unique(np.searchsorted(offs, np.flatnonzero(hit), "right") - 1)).tolist()
     return out
 
 

@@ -128,6 +128,26 @@ def test_short_items_are_found_like_by_brute_force():
     assert len(want) > 900 and len(got) == len(set(got)) and set(got) == want
 
 
+def test_rewritten_mail_addresses_are_within_reach():
+    rng = random.Random(6)
+    names = ["jane.doe", "bob.ray", "kim.lee", "ann.poe", "max.fox"]
+    texts = [f"some words before {rng.choice(names)}@{rng.choice(['example', 'mail9.example', 'site'])}.{rng.choice(['com', 'org'])} and a few more after it {k % 3 * 'at'} home" for k in range(90)]
+    field = pii.fit(texts)
+    for mail in ("jane.doe[at]example.com", "jane.doe[AT]mail.example.com", "jane.doe (at) example.com", "jane.doe at mail9.example.com", "bob dot ray at example.com", "bob at example dot com"):
+        t = f"please write to us, {mail} and we will answer soon"
+        a, b = t.index(mail), t.index(mail) + len(mail)
+        assert pii.touched(pa.array(["none here", t, None, mail])) == [1, 3]
+        words = [w for w in pii.windows(t) if w[0][0] <= a and w[-1][1] >= b]
+        assert len(words) == 1
+        i, j = [p for p, _ in words[0]].index(a), [q for _, q in words[0]].index(b)
+        assert (i, j + 1) in pii.Field().scores(t, words[0])
+    for mail in ("kim.lee[at]example.com", "kim.lee (at) example.com", "kim dot lee at mail9.example.com"):
+        t = f"some words before {mail} and a few more"
+        assert pii.redact(t, pii.all_spans(t, field)[1]) == "some words before [EMAIL] and a few more"
+    for t in ("we met at noon. Then we left", "that is all", "at", "look at the cat.", "ATTIC at"):
+        assert not list(pii.windows(t))
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "CHUNK", 16)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
