@@ -2,8 +2,8 @@
 
 Method: a document is cut into pieces where its tokenizer always cuts; LEAF pieces in a row are a leaf, and a
 segment tree keeps bytes and tokens of each subtree.  An edit finds its leaves by descending on bytes, takes
-whole leaves around it until CONTEXT unchanged bytes stand between the edit and the region's ends (a cut
-depends on no byte further away, so the ends stay cuts), encodes that region only, writes the new pieces into
+whole leaves around it until CONTEXT unchanged bytes, and as many as the longest added token has, stand between the
+edit and the region's ends (a cut depends on no byte further away, so the ends stay cuts), encodes that region only, writes the new pieces into
 the same leaves and updates the sums on their paths.  A count after an edit is the root's sum.
 
 Trees are rows of their own and can be stored (``trees``); ``edited_counts`` keeps them for one pass.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubetally.llm.arrowtext import releasing
-from cubetally.llm.tokens import PieceEncoder, default_path, encoder, piece_starts
+from cubetally.llm.tokens import PieceEncoder, default_path, encoder
 
 LEAF = 16
 CONTEXT = 4
@@ -73,7 +73,7 @@ def counts_of(enc: PieceEncoder, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(byte starts, tokens) of the pieces of one stretch of text."""
     if not raw:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    starts = piece_starts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), enc.kind)
+    starts = enc.starts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     ends = [*starts[1:].tolist(), len(raw)]
     at = enc._learn([raw[a:b].decode() for a, b in zip(starts.tolist(), ends, strict=True)])
     return starts, enc.count[at]
@@ -93,13 +93,14 @@ def apply_edit(enc: PieceEncoder, tree: Tree, raw: bytes, start: int, removed: i
     """(new text, bytes encoded): ``removed`` code points from ``start`` on give way to ``added``."""
     a, b = byte_at(raw, start), byte_at(raw, start + removed)
     new = added.encode("utf-8", "replace")
+    context = CONTEXT + enc.reach
     left, begin = tree.find(a)
-    while left > 0 and a - begin < CONTEXT:
+    while left > 0 and a - begin < context:
         left -= 1
         begin -= int(tree.bytes[tree.size + left])
     right, right_begin = tree.find(b)
     end = right_begin + int(tree.bytes[tree.size + right])
-    while right < tree.leaves - 1 and end - b < CONTEXT:
+    while right < tree.leaves - 1 and end - b < context:
         right += 1
         end += int(tree.bytes[tree.size + right])
     region = raw[begin:a] + new + raw[b:end]

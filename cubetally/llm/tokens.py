@@ -4,10 +4,14 @@ A text is cut only where its tokenizer's pre-tokenizer always cuts, so that the
 of its pieces put together.  ``byte`` (byte-level BPE: a space belongs to the word after it): before a
 space that something other than white space follows, and around a lone line feed.  ``word`` (white space
 is dropped): at ASCII white space.  Both: between an ASCII letter and ASCII punctuation.  A byte that could open a Unicode space is never taken as a cut.
+The literals of the file's added tokens (``<|endoftext|>``) are pieces of their own, and what stands before and after
+one is cut like a text that ends or begins there.  A file whose added tokens strip space, need a word's edge, are
+matched in normalized text or can overlap is encoded by whole rows.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -50,6 +54,8 @@ def piece_starts(raw: np.ndarray, offs: np.ndarray, kind: str) -> np.ndarray:
         lone = lone[~inside[lone] & ~inside[np.minimum(lone + 1, n - 1)]]
         cut[lone] = True
         cut[lone + 1] = True
+        edge = offs[offs > 0]
+        cut[edge[raw[edge - 1] == 0x20] - 1] = False  # a row's last space has nothing after it
     cut[1:n] |= _LETTER[raw[:-1]] & _PUNCTUATION[raw[1:]]
     cut[offs] = True
     cut[n] = False
@@ -66,8 +72,13 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = kind
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        words = sorted({t.content.encode() for t in added}, key=lambda w: (-len(w), w))
+        clash = any(a != b and a in b or any(a.endswith(b[:k]) for k in range(1, min(len(a), len(b)))) for a in words for b in words)
+        self.whole_rows = clash or any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added)
+        self.literal = re.compile(b"|".join(map(re.escape, words))) if words else None
+        self.reach = max(map(len, words), default=0)  # bytes around a cut that a literal can make it depend on
         self._clear()
 
     def _clear(self) -> None:
@@ -101,11 +112,28 @@ class PieceEncoder:
             self.used += len(flat)
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
+    def starts(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Byte positions where pieces begin, added tokens' literals among them."""
+        if self.whole_rows:
+            return offs[:-1][np.diff(offs) > 0]
+        spans, at = [], 0
+        while self.literal and (m := self.literal.search(raw, at)):
+            row_end = int(offs[np.searchsorted(offs, m.start(), "right")])
+            inside = m.end() <= row_end
+            if inside:
+                spans.append(m.span())
+            at = m.end() if inside else m.start() + 1
+        if not spans:
+            return piece_starts(raw, offs, self.kind)
+        first, end = np.array(spans, np.int64).T
+        starts = piece_starts(raw, np.union1d(offs, np.concatenate([first, end])), self.kind)
+        return starts[starts >= np.append(0, end)[np.searchsorted(first, starts)]]
+
     def pieces(self, column: pa.Array):
         """(first row, bytes, byte starts of pieces, first piece of each row, pool index of each piece) for runs of whole rows."""
         for first, _, raw, offs in slices(column):
             if len(raw):
-                starts = piece_starts(raw, offs, self.kind)
+                starts = self.starts(raw, offs)
                 large = len(raw) > 2**31 - 1
                 edges = pa.py_buffer(np.append(starts, len(raw)).astype(np.int64 if large else np.int32).tobytes())
                 text = pa.Array.from_buffers(pa.large_string() if large else pa.string(), len(starts), [None, edges, pa.py_buffer(raw)])

@@ -131,3 +131,41 @@ def test_edited_counts(spark):
     assert got[1, 2]["bytes_encoded_again"] < got[1, 2]["bytes_edited"] / 5
     assert edits.edited_counts(df.limit(0)).count() == 0
     assert edits.trees(df).where("n_tokens = node_tokens[1]").count() == 4
+
+
+MARKED = ["tab foo <|endoftext|> b", "<|endoftext|>", "a   <|endoftext|>   b", "x<|endoftext|>'s <|startoftext|><|endoftext|>é", "<|endof<|endoftext|>", "\n<|endoftext|>\n\n b", "<|endoftext", "|> a", "<|ENDOFTEXT|>", "e<|endoftext|>\u0301 <|startoftext|>z", "a    ", "b"]
+
+
+@pytest.mark.parametrize(("name", "kind"), FILES)
+def test_added_tokens_are_matched_as_by_a_fresh_tokenizer(name, kind):
+    from tokenizers import Tokenizer
+
+    plain, rng = Tokenizer.from_file(tokens.default_path(name)), random.Random(8)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "endoftext", " ", "  ", "\n", "a", "B.", "'s", "é", "\u0301"]
+    texts = MARKED + ["".join(rng.choices(bits, k=rng.randrange(1, 12))) for _ in range(400)]
+    got = [ids[b[i] : b[i + 1]].tolist() for _, ids, b in enc(name, kind).encode(pa.array(texts)) for i in range(len(b) - 1)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize(("name", "kind"), FILES)
+def test_edits_make_and_break_added_tokens(name, kind):
+    from tokenizers import Tokenizer
+
+    plain, rng, e = Tokenizer.from_file(tokens.default_path(name)), random.Random(9), enc(name, kind)
+    for _, raw, tree in edits.built(e, pa.array(["some words <|endoftext|> and <|endof text|>, " * 30, "x<|startoftext|>" * 80])):
+        for _ in range(60):
+            s = raw.decode()
+            a = rng.choice([m for m in range(len(s)) if s[m] in "<|>x "])
+            raw, _ = edits.apply_edit(e, tree, raw, a, rng.choice([0, 1, 3, 13]), rng.choice(["", "<|endoftext|>", "<|endof", "text|>", " ", "  <|startoftext"]))
+            assert tree.tokens[1] == len(plain.encode(raw.decode(), add_special_tokens=False).ids)
+
+
+def test_added_tokens_that_strip_are_encoded_by_whole_rows(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    plain = Tokenizer.from_file(tokens.default_path(FILES[0][0]))
+    plain.add_tokens([AddedToken("<sep>", lstrip=True, rstrip=True), AddedToken("word", single_word=True)])
+    plain.save(str(tmp_path / "t.json"))
+    texts = ["a  <sep>  b", "word words a word.", "", "x <|endoftext|> <sep>"]
+    got = [ids[b[i] : b[i + 1]].tolist() for _, ids, b in tokens.encoder(str(tmp_path / "t.json"), "byte").encode(pa.array(texts)) for i in range(len(b) - 1)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
