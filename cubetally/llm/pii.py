@@ -6,11 +6,12 @@ segment (shape, digit count, Luhn sum, separators, words beside it), and a dynam
 segments chooses boundaries and kinds jointly.  Background words score 0, so only stretches around triggers
 need the program: digits, at signs, "[at]", "(at)", and "at" before a word with a dot in it or a "dot" after it.
 A window reaches MOST_WORDS - 1 words to both sides of a trigger, so that it has every segment with one; the
-best path elsewhere is background.
+best path elsewhere is background.  However long a stretch is, it is one window: the program runs over it in one
+pass with two small numbers a word and label.
 
 The weights are trained here, by gradient steps on the exact log-likelihood (forward and backward sums over
 segmentations) of a bounded sample: SAMPLE documents with candidates, labelled by the base patterns, plus
-rewritten forms of the same spans (no plus sign, dots for hyphens, "[at]" ...) that the patterns miss.
+rewritten forms of the same spans (no plus sign, dots for hyphens, "[at]" ...) that the patterns miss.  For training alone, a window of more than TRAIN_WORDS words is cut between spans.
 
 A segment that the field reports is added as crf_<kind> unless it overlaps a base span; base spans stay.
 
@@ -49,6 +50,7 @@ BUCKETS = 1 << 12
 SAMPLE = 400
 EPOCHS = 6
 MAX_CHARS = 20_000
+TRAIN_WORDS = 64
 
 Span = tuple[int, int, int]  # start, kind, end: sorts by start, then kind as listed
 
@@ -157,9 +159,6 @@ def windows(t: str) -> Iterator[list[tuple[int, int]]]:
             if w[1] > m.start() or len(ahead) > 2 * reach:
                 break
         if ahead and ahead[-1][1] > m.start():
-            if len(words) >= 64:
-                yield words
-                words = []
             words += ahead
         else:  # windows this far apart share no word
             if words:
@@ -204,22 +203,23 @@ class Field:
         self.weights = np.zeros((BUCKETS, len(KINDS))) if weights is None else weights
         self.follow = np.zeros((len(LABELS), len(LABELS))) if follow is None else follow
 
+    def score(self, t: str, words: list[tuple[int, int]], i: int, j: int) -> tuple[list[int], np.ndarray] | None:
+        """(features, score by kind) of words i to j-1 as one segment, if it has a trigger."""
+        if not TRIGGER.search(t, words[i][0], words[j - 1][1]):
+            return None
+        f = segment_features(t, words, i, j)
+        return f, self.weights[f].sum(0)
+
     def scores(self, t: str, words: list[tuple[int, int]]) -> dict[tuple[int, int], tuple[list[int], np.ndarray]]:
-        """(features, score by kind) of every segment of at most MOST_WORDS words that has a trigger."""
-        out = {}
-        for i in range(len(words)):
-            for j in range(i + 1, min(i + MOST_WORDS, len(words)) + 1):
-                if TRIGGER.search(t, words[i][0], words[j - 1][1]):
-                    f = segment_features(t, words, i, j)
-                    out[i, j] = (f, self.weights[f].sum(0))
-        return out
+        """``score`` of every segment of at most MOST_WORDS words that has a trigger."""
+        spans = ((i, j) for i in range(len(words)) for j in range(i + 1, min(i + MOST_WORDS, len(words)) + 1))
+        return {(i, j): x for i, j in spans if (x := self.score(t, words, i, j))}
 
     def best(self, t: str, words: list[tuple[int, int]]) -> list[Span]:
         """Segments of the best segmentation, kinds numbered as in NAMES."""
         n, labels = len(words), len(LABELS)
-        scored = self.scores(t, words)
         best = np.full((n + 1, labels), -np.inf)
-        back: dict[tuple[int, int], tuple[int, int]] = {}
+        back = np.zeros((n + 1, labels, 2), np.int8)  # words and label before, of the best path to a word and label
         best[0, 0] = 0
         for j in range(1, n + 1):
             for i in range(max(0, j - MOST_WORDS), j):
@@ -227,17 +227,17 @@ class Field:
                     step = best[i] + self.follow[:, 0]
                     k = int(step.argmax())
                     if step[k] > best[j, 0]:
-                        best[j, 0], back[j, 0] = step[k], (i, k)
-                if (i, j) in scored:
+                        best[j, 0], back[j, 0] = step[k], (j - i, k)
+                if scored := self.score(t, words, i, j):
                     for y in range(1, labels):
                         step = best[i] + self.follow[:, y]
                         k = int(step.argmax())
-                        v = step[k] + scored[i, j][1][y - 1]
+                        v = step[k] + scored[1][y - 1]
                         if v > best[j, y]:
-                            best[j, y], back[j, y] = v, (i, k)
+                            best[j, y], back[j, y] = v, (j - i, k)
         out, j, y = [], n, int(best[n].argmax())
         while j:
-            i, k = back[j, y]
+            i, k = j - int(back[j, y, 0]), int(back[j, y, 1])
             if y:
                 out.append((words[i][0], len(KINDS) + y - 1, words[j - 1][1]))
             j, y = i, k
@@ -302,9 +302,20 @@ def rewritten(t: str, spans: list[Span], turn: int) -> tuple[str, list[Span]]:
     return "".join([*out, t[at:]]), found
 
 
+def parts(words: list[tuple[int, int]], spans: list[Span]) -> Iterator[list[tuple[int, int]]]:
+    """``words`` in runs of TRAIN_WORDS words or a few more, so that no span lies in two."""
+    at = 0
+    while at < len(words):
+        to = min(at + TRAIN_WORDS, len(words))
+        while to < len(words) and any(a < words[to - 1][1] and b > words[to][0] for a, _, b in spans):
+            to += 1
+        yield words[at:to]
+        at = to
+
+
 def examples(t: str, spans: list[Span]) -> Iterator[tuple[list[tuple[int, int]], dict[tuple[int, int], int]]]:
-    """(words, gold segments) of the windows of ``t``."""
-    for words in windows(t):
+    """(words, gold segments) of the windows of ``t``, long ones in parts of about TRAIN_WORDS words."""
+    for words in (part for whole in windows(t) for part in parts(whole, spans)):
         gold = {}
         for a, k, b in spans:
             inside = [i for i, (p, q) in enumerate(words) if p < b and q > a]

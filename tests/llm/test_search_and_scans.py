@@ -148,6 +148,29 @@ def test_rewritten_mail_addresses_are_within_reach():
         assert not list(pii.windows(t))
 
 
+def test_long_stretches_of_digits_have_no_edge():
+    d = "4111 1111 1111 1111".split()
+    texts = [f"row {k} card {'.'.join(d) if k % 2 else ' '.join(d)} paid {k * 7} of 90" for k in range(60)]
+    field = pii.fit(texts)
+    card, number = "4111.1111.1111.1111", "(555) 201-3344"
+    for n in (59, 61, 62, 63, 64, 65, 126, 127, 128, 129, 1000):
+        t = " ".join(["17"] * n + number.split() + ["17"] * 70)
+        (words,) = pii.windows(t)
+        assert len(words) == n + 72
+        at = t.index(number)
+        assert (at, at + len(number)) in [(words[i][0], words[j - 1][1]) for i, j in pii.Field().scores(t, words)]
+    # the field's answer does not depend on where in a stretch a segment lies
+    weights = np.zeros_like(field.weights)
+    weights[pii.bucket("shape=(93) 93-94"), 3] = 5
+    only = pii.Field(weights)
+    for n in range(55, 70):
+        t = " ".join(["17"] * n + number.split() + ["17"] * 70 + [card])
+        assert [t[a:b] for a, k, b in pii.all_spans(t, only)[1] if k == 7] == [number]
+    spans = pii.base_spans(" ".join(f"1 2 3 {' '.join(d)}" for _ in range(60)))
+    cut = list(pii.parts([w for w in pii.words_from(" ".join(f"1 2 3 {' '.join(d)}" for _ in range(60)), 0)], spans))
+    assert sum(map(len, cut)) == 420 and all(len(c) >= 1 for c in cut)
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "CHUNK", 16)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
