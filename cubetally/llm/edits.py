@@ -75,8 +75,7 @@ def counts_of(enc: PieceEncoder, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     starts = enc.starts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     ends = [*starts[1:].tolist(), len(raw)]
-    at = enc._learn([raw[a:b].decode() for a, b in zip(starts.tolist(), ends, strict=True)])
-    return starts, enc.count[at]
+    return starts, enc.count_few([raw[a:b].decode() for a, b in zip(starts.tolist(), ends, strict=True)])
 
 
 def byte_at(raw: bytes, point: int) -> int:
@@ -117,7 +116,7 @@ def apply_edit(enc: PieceEncoder, tree: Tree, raw: bytes, start: int, removed: i
 def built(enc: PieceEncoder, column: pa.Array) -> Iterator[tuple[int, bytes, Tree]]:
     """(row, text bytes, tree) of each row."""
     for first, raw, starts, piece_row, at in enc.pieces(column):
-        tokens = np.append(0, np.cumsum(enc.count[at]))
+        tokens = np.append(0, np.cumsum(enc.counts(at)))
         edges = np.append(starts, len(raw))
         for r in range(len(piece_row) - 1):
             p, q = piece_row[r], piece_row[r + 1]
