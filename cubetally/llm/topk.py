@@ -4,8 +4,9 @@ Vectors become integers, floor(1024 * x).  A task holds a chunk of candidates as
 and adds up products BLOCK dimensions at a time.  What the other dimensions can still add is at most the
 product of the norms that remain of both vectors; a candidate whose sum plus that mass lies below the k-th
 best certain score so far is dropped, and the survivors are compacted before the next block.  The k best of
-earlier chunks of the task carry over as a starting bound.  Sums are integers under 2**53, so float64
-arithmetic is exact and order does not matter.
+earlier chunks of the task carry over as a starting bound.  Where the norms of a query and a chunk show that sums
+stay under EXACT (2**53), float64 arithmetic is exact and order does not matter; elsewhere bounds get the
+slack of a rounded sum, and the survivors are scored again in whole numbers of any size.
 
 The stated query set meets all rows in blocks of about QUERY_BLOCK queries, each broadcast (its size is bounded
 by that parameter, not by the data); every task returns its k best a query, and a window over those picks the k
@@ -14,7 +15,8 @@ best of all.
 Cases: vectors that are null or hold null or non-finite components take no part, as query or candidate; a
 candidate of another length than the query is none for it; rows that repeat a vec_id are candidates of their
 own, but never for a query of that id, and such a query is asked once, with its smallest vector; ties go to
-the smaller vec_id; null vec_id takes no part; an empty table gives an empty result; other columns are ignored.
+the smaller vec_id; components beyond a long become the nearest long, and so do scores, which are ranked before
+that; null vec_id takes no part; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +51,16 @@ def merge_best(best: tuple[np.ndarray, np.ndarray], scores: np.ndarray, ids: np.
     return s[order], i[order]
 
 
+def merge_wide(best: tuple, queries: np.ndarray, columns: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``merge_best`` with scores in whole numbers of any size."""
+    whole = [int(x) for x in queries]
+    scores = [sum(a * int(b) for a, b in zip(whole, columns[:, i], strict=True)) for i in range(columns.shape[1])]
+    every = sorted(zip([*map(int, best[0]), *scores], [*best[1].tolist(), *ids.tolist()], strict=True), key=lambda x: (-x[0], x[1]))[:k]
+    out = np.empty(len(every), object)
+    out[:] = [s for s, _ in every]
+    return out, np.array([i for _, i in every], np.int64)
+
+
 def chunk_search(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray, ids: np.ndarray, best: list, k: int) -> None:
     """Update ``best`` (scores and ids by query) with the candidates in ``columns`` (dimensions x rows)."""
     dims = len(columns)
@@ -61,15 +73,18 @@ def chunk_search(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray
         q_mass[n] = q_mass[n + 1] + (queries[:, c : c + BLOCK] ** 2).sum(1)
     mass, q_mass = np.sqrt(mass) * (1 + 1e-9), np.sqrt(q_mass) * (1 + 1e-9)
     first = queries[:, :BLOCK] @ columns[:BLOCK]
+    widest = mass[0].max(initial=0) * q_mass[0]
     for q in range(len(queries)):
+        wide = widest[q] >= EXACT or best[q][0].dtype == object
+        slack = widest[q] * dims * 2.0**-50 if wide else 0.0
         alive = np.flatnonzero(ids != query_ids[q])
         sums = first[q][alive]
         for n in range(1, len(cuts) + 1):
             rest = mass[n][alive] * q_mass[n][q]
-            floor = best[q][0][k - 1] if len(best[q][0]) >= k else -np.inf
+            floor = float(best[q][0][k - 1]) - slack if len(best[q][0]) >= k else -np.inf
             if len(alive) > k:
-                floor = max(floor, np.partition(sums - rest, len(alive) - k)[len(alive) - k])
-            keep = sums + rest >= floor
+                floor = max(floor, np.partition(sums - rest, len(alive) - k)[len(alive) - k] - slack)
+            keep = sums + rest + slack >= floor
             if not keep.all():
                 alive, sums = alive[keep], sums[keep]
             if n == len(cuts) or not len(alive):
@@ -77,7 +92,7 @@ def chunk_search(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray
             c = cuts[n]
             sums = sums + queries[q, c : c + BLOCK] @ columns[c : c + BLOCK][:, alive]
         if len(alive):
-            best[q] = merge_best(best[q], sums, ids[alive], k)
+            best[q] = merge_wide(best[q], queries[q], columns[:, alive], ids[alive], k) if wide else merge_best(best[q], sums, ids[alive], k)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
@@ -127,7 +142,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
                     search(n)
                 for j, (scores, ids) in enumerate(best[n]):
                     if len(ids):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), shared.value[n][0][j])), pa.array(ids), pa.array(scores.astype(np.int64))], ["query_id", "vec_id", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), shared.value[n][0][j])), pa.array(ids), pa.array([min(max(int(s), -(1 << 63)), (1 << 63) - 1) for s in scores], pa.int64())], ["query_id", "vec_id", "score"])
 
         part = rows.mapInArrow(task, "query_id long, vec_id long, score long")
         found = part if found is None else found.unionByName(part)
