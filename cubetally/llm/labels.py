@@ -11,12 +11,11 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)).cast("int")
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, max_chars: int) -> DataFrame:
+def training_rows(documents: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int) -> DataFrame:
     """(text, y) of at most ``per_class`` labelled documents of each class outside the held-out fold.
 
-    The rows are those with the smallest hashes of their ids, so a rerun picks the same ones.  A document of
-    more than ``max_chars`` characters is not used for training (it is scored whole like any other).  An id
-    whose label is null, or that has both labels, is skipped.
+    The rows are those with the smallest hashes of their ids, so a rerun picks the same ones.  Texts are
+    whole, however long.  An id whose label is null, or that has both labels, is skipped.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold_of(F.col("doc_id"), folds) != held_out))
     known = known.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("y_max")).where("y = y_max").select("doc_id", "y")
@@ -24,7 +23,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, folds: in
     for y in (0, 1):
         one = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         pick = one if pick is None else pick.unionByName(one)
-    texts = documents.select("doc_id", "text").where(F.length("text") <= max_chars)
+    texts = documents.select("doc_id", "text").where("text is not null")
     # the picked ids are at most 2 * per_class rows
     return texts.join(F.broadcast(pick), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
 

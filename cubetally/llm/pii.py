@@ -10,7 +10,7 @@ best path elsewhere is background.  However long a stretch is, it is one window:
 pass with two small numbers a word and label.
 
 The weights are trained here, by gradient steps on the exact log-likelihood (forward and backward sums over
-segmentations) of a bounded sample: SAMPLE documents with candidates, labelled by the base patterns, plus
+segmentations) of a bounded sample: the first WINDOWS windows of SAMPLE documents with candidates, labelled by the base patterns, plus
 rewritten forms of the same spans (no plus sign, dots for hyphens, "[at]" ...) that the patterns miss.  For training alone, a window of more than TRAIN_WORDS words is cut between spans.
 
 A segment that the field reports is added as crf_<kind> unless it overlaps a base span; base spans stay.
@@ -49,7 +49,7 @@ MOST_WORDS = 5
 BUCKETS = 1 << 12
 SAMPLE = 400
 EPOCHS = 6
-MAX_CHARS = 20_000
+WINDOWS = 12  # of a sample document and of its rewritten form, in fitting only
 TRAIN_WORDS = 64
 
 Span = tuple[int, int, int]  # start, kind, end: sorts by start, then kind as listed
@@ -331,10 +331,10 @@ def fit(texts: list[str]) -> Field:
     work = []
     for n, t in enumerate(texts):
         spans = base_spans(t)
-        work += [(t, *x) for x in examples(t, spans)][:12]
+        work += [(t, *x) for x in examples(t, spans)][:WINDOWS]
         if spans:
             other, found = rewritten(t, spans, n)
-            work += [(other, *x) for x in examples(other, found)][:12]
+            work += [(other, *x) for x in examples(other, found)][:WINDOWS]
     order = np.random.default_rng(5)
     for epoch in range(EPOCHS):
         for k in order.permutation(len(work)):
@@ -344,7 +344,7 @@ def fit(texts: list[str]) -> Field:
 
 def train(documents: DataFrame, text: str = "text") -> Field:
     """Fit on the SAMPLE documents with a candidate whose text hashes are the smallest."""
-    some = documents.select(F.col(text).alias("text")).where(F.length("text") <= MAX_CHARS).where(F.rlike("text", F.lit("[0-9]{3}|@")))
+    some = documents.select(F.col(text).alias("text")).where(F.rlike("text", F.lit("[0-9]{3}|@")))
     some = some.withColumn("h", F.xxhash64("text"))
     # only hashes are ordered; the texts of the SAMPLE least ones are fetched once each, however often they repeat
     pick = some.select("h").distinct().orderBy("h").limit(SAMPLE)

@@ -3,8 +3,7 @@
 Method: every white-space word and every character n-gram (3 and 4 characters of the word with its
 boundaries, case kept) is hashed to a bucket that has a learned vector; a document is the average of its
 vectors, and a softmax layer over that average gives the class.  Vectors and layer are trained by plain
-stochastic gradient descent in numpy on a bounded sample (PER_CLASS documents of each class, MAX_CHARS
-characters each at most).  As the softmax of two classes depends on the difference of their logits only,
+stochastic gradient descent in numpy on a bounded sample (PER_CLASS whole documents of each class at most).  As the softmax of two classes depends on the difference of their logits only,
 scoring needs one number a bucket: vector . (w1 - w0).
 
 Cases: null, empty or white-space text scores as the bias alone; repeated rows each get their score;
@@ -29,7 +28,6 @@ ORDERS = (3, 4)
 BITS = 17
 DIMENSIONS = 8
 PER_CLASS = 1500
-MAX_CHARS = 40_000
 EPOCHS = 6
 RATE = 0.5
 THRESHOLD = 0.7
@@ -112,7 +110,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", folds
         logits, bias = fit(table["text"].chunk(0), table["y"].to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([logits.tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["logits", "bias"])
 
-    sample = training_rows(documents, labels, label, folds, held_out, PER_CLASS, MAX_CHARS)
+    sample = training_rows(documents, labels, label, folds, held_out, PER_CLASS)
     got = sample.repartition(1).mapInArrow(releasing(task), "logits binary, bias double").collect()
     if not got:
         return Model(np.zeros(1 << BITS, np.float32), 0.0)

@@ -5,7 +5,7 @@ ratio r = log((p / |p|) / (q / |q|)), p and q being the smoothed counts in toxic
 a logistic regression is trained on the scaled features and folded into one weight a bucket.  Buckets
 whose ratio is not significant (|r| under Z_LEAST standard errors) get weight 0.
 
-Training uses a bounded sample (PER_CLASS documents of each class, MAX_CHARS characters each at most) in
+Training uses a bounded sample (PER_CLASS whole documents of each class at most) in
 one task; scoring streams over all whole texts with no shuffle.
 
 Cases: null or empty text scores as a document without n-grams (the bias alone); repeated rows each get
@@ -15,6 +15,7 @@ a clash with an output name is resolved in favour of the output.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,6 @@ from cubetally.llm.labels import training_rows, with_fold
 ORDERS = (3, 4, 5)
 BITS = 20
 PER_CLASS = 2500
-MAX_CHARS = 40_000
 Z_LEAST = 4.0
 MOST_FEATURES = 30_000
 THRESHOLD = 0.7
@@ -124,26 +124,26 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds:
         buckets, weights, bias = fit(table["text"].chunk(0) if table["text"].num_chunks else pa.array([], pa.string()), table["y"].to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array(np.append(buckets, -1)), pa.array(np.append(weights, bias))], ["bucket", "weight"])
 
-    sample = training_rows(documents, labels, label, folds, held_out, PER_CLASS, MAX_CHARS)
+    sample = training_rows(documents, labels, label, folds, held_out, PER_CLASS)
     got = sample.repartition(1).mapInArrow(releasing(task), "bucket long, weight double").toPandas()
     real = got[got.bucket >= 0]
     return Model(real.bucket.to_numpy(), real.weight.to_numpy(), float(got.weight[got.bucket < 0].sum()))
 
 
-def score(documents: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``documents`` plus score and predicted."""
-    kept = [f for f in documents.schema.fields if f.name not in ("score", "predicted")]
+def score(documents: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of ``documents`` plus the score and the prediction under ``names``, in place of columns so named."""
+    kept = [f for f in documents.schema.fields if f.name not in names]
     shared = documents.sparkSession.sparkContext.broadcast(model)
     at = [f.name for f in kept].index(text)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = shared.value.scores(b.column(at))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, *names])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*kept, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
     return documents.select(*[documents[f.name] for f in kept]).mapInArrow(releasing(task), schema)
 
 
@@ -157,7 +157,8 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def reject_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``documents`` that are not predicted toxic, columns unchanged."""
     model = train(documents, labels)
-    return score(documents, model).where(F.col("predicted") == 0).select(*documents.columns)
+    own = f"score_{uuid.uuid4().hex}", f"predicted_{uuid.uuid4().hex}"  # names that no input column has
+    return score(documents, model, names=own).where(F.col(own[1]) == 0).select(*documents.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
