@@ -39,8 +39,7 @@ from cubetally.llm.tokens import crc_ids, default_path, encoder
 MAGIC = b"CTR1"
 HEAD = struct.Struct("<4sBIQII")
 BLOCK = 2048
-SMALL_BLOCK = 512  # in sections of under a million ids, so that enough blocks advance in step
-SECTION_TOKENS = 8_000_000
+SECTION_TOKENS = 4_000_000
 SECTIONS = "shard int, section int, start long, n_ids long, payload binary"
 
 
@@ -48,8 +47,7 @@ class CorruptBlock(ValueError):
     """A block whose ids do not have the stored checksum."""
 
 
-def write_section(doc_ids: list, counts: np.ndarray, ids: np.ndarray, block: int | None = None) -> bytes:
-    block = block or (BLOCK if len(ids) >= 1_000_000 else SMALL_BLOCK)
+def write_section(doc_ids: list, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     wide = bool(len(ids)) and int(ids.max()) >= 1 << 16
     blocks = encode_blocks(ids, block, wide)
     crcs = [crc_ids(ids[i * block : (i + 1) * block]) for i in range(len(blocks))]

@@ -51,6 +51,7 @@ SUMMARY = 1 << 15
 SALT_ROWS = 512
 BANDS = ((1, 1), (48, 4), (192, 16), (768, 64), (3072, 256), (12288, 1024))  # from size, g
 BROADCAST_IDS = 2_000_000
+COPY_PARTS = 64  # parts of a class of equal texts
 _ONE, _TWO = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -396,6 +397,20 @@ def straggler_links(documents: DataFrame, still: DataFrame) -> DataFrame:
     return met.groupBy("cluster", "l", "r").applyInArrow(block, "u long, v long").distinct()
 
 
+def copy_links(real: DataFrame) -> DataFrame:
+    """(u, v): each id of a class of copies hangs on the least of its part of the class, that on the least of the class.
+
+    A class is dealt over COPY_PARTS parts by id, so that a large one meets in no single task.
+    """
+    same = ["fp1", "fp2", "n_shingles"]
+    dealt = real.select("doc_id", *same, F.pmod(F.xxhash64("doc_id"), F.lit(COPY_PARTS)).alias("part"))
+    parts = dealt.groupBy(*same, "part").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    within = dealt.join(parts.where("first <> last"), [*same, "part"]).where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    least = parts.groupBy(*same).agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1")
+    across = parts.join(least, same).where("first <> least").select(F.col("first").alias("u"), F.col("least").alias("v"))
+    return within.distinct().unionByName(across)
+
+
 def linked_groups(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``documents``."""
     spark = documents.sparkSession
@@ -407,9 +422,7 @@ def linked_groups(documents: DataFrame) -> DataFrame:
     dealt = entries.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "n", "doc")
     members = written(chained(dealt), "jaccard-members")
     # copies: every further id of a class is linked to its least one
-    classes = real.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    copies = real.join(classes, ["fp1", "fp2", "n_shingles"]).where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
-    copies = written(copies.distinct(), "jaccard-copies")
+    copies = written(copy_links(real), "jaccard-copies")
     first = written(neighbours(members), "jaccard-first")
     links = written(verified(documents, first).unionByName(copies), "jaccard-links")
     roots = written(components(links), "jaccard-roots")
@@ -429,12 +442,10 @@ def linked_groups(documents: DataFrame) -> DataFrame:
 def one_of_each_group(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` whose doc_id is the least of its group, columns unchanged.
 
-    Rows that repeat the id of a group are kept once; rows with a null id or without words stay.
+    Rows are kept or dropped by id: rows that repeat a surviving id all stay.  Rows with a null id or without words stay.
     """
-    groups = linked_groups(documents)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = documents.join(gone, documents["doc_id"] == F.col("gone"), "left_anti")
-    return kept
+    gone = linked_groups(documents).where("component_id <> doc_id").select("doc_id").distinct()
+    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,52 +1,103 @@
 """Adaptive context-mixing range coder for token ids, run for many blocks at once in numpy.
 
-Each block of up to ``block`` ids is coded from a fresh model.  Three predictors speak for the next id:
+Each block of up to ``block`` ids is coded from a fresh model.  An id's slot is the order in which it first came
+up in the block.  Three predictors speak for the next slot:
 
-* order 2: the id that last followed the two ids before, with a confidence;
-* order 1: the id that last followed the id before, with a confidence;
-* order 0: a direct-mapped table of the ids seen in this block.
+* order 2: the slot that last followed the two before, with a count of how often it was right in a row;
+* order 1: the slot that last followed the one before, likewise;
+* order 0: all slots of the block by how often they came up (counts exact to 6, then in steps of up to a third).
 
-The chance that each is right, given that those above it are not, is itself adaptive: orders 2 and 1 by
-confidence (order 2 also by whether the two agree), order 0 by block.  These chances split one range-coder
-interval into order 2 / order 1 / the slots of order 0 / an escape, after which the id's bits follow.
+Their distributions are mixed with weights that adapt within the block: one weight for each count of order 2 (apart
+where both name the same slot) and of order 1, and one for order 0 against a new id, whose bits follow.  The mixture
+drives one range-coder step an id.  Order 0 keeps slots sorted by count: a slot that rises changes places with the
+first of its level, so a step costs the same for any number of slots.
 
 All blocks of a section advance in step ("lanes"), so each numpy call codes one id of every block.  The range
 coder has a 48-bit window and 24-bit words; a word's carry stays in its upper bits until the end.
+
+Cases: no ids give no blocks; blocks hold 4,000 ids at most; ids are unsigned 16-bit, or 32-bit where ``wide``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BITS = (10, 9)  # context table of order 2, of order 1
-BITS0 = 9
-TOTAL = 1 << 16
+BITS2 = 10  # context table of order 2
+SCALE = 18
+TOTAL = 1 << SCALE
 WORD = 24
 MASK = (1 << WORD) - 1
 MASK32 = (1 << 32) - 1
 A, B = 0x9E3779B1, 0x85EBCA6B
+NONE = 4095  # no slot
+RISES = np.array([1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 40, 48, 64])  # count at which a slot enters each level
+WEIGHT = 2 * RISES - 1  # a slot's share of order 0, by level: its count less a half
+TOP = len(RISES) - 1
+
+
+def _level_changes() -> np.ndarray:
+    """What a rise from level j (column j) adds to the mass of each level and all above it."""
+    out = np.zeros((TOP + 2, TOP), np.int32)
+    for j in range(TOP):
+        out[: j + 1, j] = WEIGHT[j + 1] - WEIGHT[j]
+        out[j + 1, j] = WEIGHT[j + 1]
+    return out
+
+
+CHANGES = _level_changes()
+IS_RISE = np.zeros(RISES[-1] + 2, bool)
+IS_RISE[RISES[1:]] = True
 
 
 class _Coder:
-    """Model and range coder of all lanes; ``run`` is driven by ids (encoding) or by words (decoding)."""
+    """Model and range coder of all lanes; ``run`` is driven by slots and ids (encoding) or by words (decoding)."""
 
-    def __init__(self, lanes: int, wide: bool):
-        self.lanes, self.wide = lanes, wide
-        kind = np.int64 if wide else np.int32
-        none = (1 << 40 if wide else 1 << 26) << 4
+    def __init__(self, lanes: int, steps: int, wide: bool):
+        self.lanes, self.steps, self.wide = lanes, steps, wide
         at = np.arange(lanes, dtype=np.int64)
         # the tables of both orders lie behind one another, so that one call serves both
-        self.base = np.stack([at << BITS[0], (lanes << BITS[0]) + (at << BITS[1])])
-        self.table = np.full(lanes * ((1 << BITS[0]) + (1 << BITS[1])), none, kind)
-        self.base0, self.slots = at << BITS0, np.full(lanes << BITS0, none >> 4, kind)
+        self.base2, self.base1, self.line = at << BITS2, (lanes << BITS2) + at * steps, at * steps
+        self.table = np.full(lanes * ((1 << BITS2) + steps), NONE << 4, np.uint16)
         prior = np.array([0, 16, 32, 40, 48, 52, 56, 58] + [60] * 8, np.int64) << 10
         self.base_q = np.stack([at * 48, at * 48 + 32])
         self.chance = np.tile(np.concatenate([prior, np.minimum(prior + 4096, 63 << 10), prior]), lanes)
-        self.chance0 = np.full(lanes, TOTAL // 3, np.int64)
+        self.chance0 = np.full(lanes, 1 << 14, np.int64)
+        # order 0: slots by rank, rank and level and count by slot, mass and number of slots at or above each level
+        self.by_rank, self.rank = np.zeros(lanes * steps, np.uint16), np.zeros(lanes * steps, np.uint16)
+        self.level, self.seen = np.zeros(lanes * steps, np.uint8), np.zeros(lanes * steps, np.uint16)
+        self.mass, self.ranks = np.zeros((TOP + 2, lanes), np.int32), np.zeros((TOP + 2) * lanes, np.int64)
+        self.slots = np.zeros(lanes, np.int64)
+
+    def _count(self, x: np.ndarray, place: np.ndarray, fresh: np.ndarray) -> None:
+        """Order 0 learns slot x of each lane; ``place`` is where it stands, ``fresh`` the lanes where it is new."""
+        lanes = self.lanes
+        seen = self.seen.take(place) + np.uint16(1)
+        self.seen[place] = seen
+        if len(fresh):
+            last = self.ranks[fresh]  # level 0 is the first line: all slots
+            self.by_rank[self.line[fresh] + last] = x[fresh]
+            self.rank[place[fresh]] = last
+            self.ranks[fresh] = last + 1
+            self.mass[0, fresh] += WEIGHT[0]
+            self.slots[fresh] += 1
+        rise = np.flatnonzero(IS_RISE.take(seen, mode="clip"))
+        if len(rise):
+            line, mine = self.line[rise], place[rise]
+            up = self.level[mine].astype(np.int64)
+            above = (up + 1) * lanes + rise
+            self.mass[:, rise] += CHANGES[:, up]
+            here, first = self.rank[mine], self.ranks[above]
+            other = self.by_rank[line + first]
+            self.by_rank[line + here] = other
+            self.rank[line + other] = here
+            self.by_rank[line + first] = x[rise]
+            self.rank[mine] = first
+            self.ranks[above] = first + 1
+            self.level[mine] = up + 1
 
-    def run(self, steps: int, ids: np.ndarray | None, words: np.ndarray | None):
-        """(words, counts) of ``ids`` (steps x lanes), or the ids of ``words`` (words x lanes)."""
-        lanes, encode = self.lanes, ids is not None
+    def run(self, slots: np.ndarray | None, ids: np.ndarray | None, words: np.ndarray | None):
+        """(words, counts) of ``slots`` and ``ids`` (steps x lanes), or the ids of ``words`` (words x lanes)."""
+        lanes, steps, encode = self.lanes, self.steps, ids is not None
         every = np.arange(lanes, dtype=np.int64)
         rng = np.full(lanes, 1 << 2 * WORD, np.int64)
         pos = every.copy()  # place of the next word in the flat grid
@@ -58,6 +109,7 @@ class _Coder:
             low = (words[0].astype(np.int64) << WORD) | words[1]  # distance of the code from the interval's start
             pos += 2 * lanes
             result = np.zeros((steps, lanes), np.int64)
+            names = np.zeros(lanes * steps, np.uint32)  # id of each slot
 
         def shift(need: np.ndarray) -> None:
             at = pos[need]
@@ -75,85 +127,82 @@ class _Coder:
             if encode:
                 low[where] += r * value
             else:
-                value = np.minimum(low[where] // r, TOTAL - 1)
+                value = np.minimum(low[where] // r, (1 << 16) - 1)
                 low[where] -= r * value
             rng[where] = r
             shift(where[r < 1 << WORD])
             return value
 
         place = np.empty((2, lanes), np.int64)
-        table, chance, slots, chance0 = self.table, self.chance, self.slots, self.chance0
+        table, chance, chance0, mass, ranks = self.table, self.chance, self.chance0, self.mass, self.ranks
+        mass_flat = mass.ravel()  # a view
         p1 = p2 = np.zeros(lanes, np.int64)
         for step in range(steps):
-            m = p1 * A
-            place[1] = (m & MASK32) >> (32 - BITS[1])
-            place[0] = ((m * 5 + p2 * B) & MASK32) >> (32 - BITS[0])
-            place += self.base
-            e = table[place]
+            np.add(self.base2, ((p1 * A + p2 * B) & MASK32) >> (32 - BITS2), out=place[0])
+            np.add(self.base1, p1, out=place[1])
+            e = table.take(place).astype(np.int64)
             c, k = e >> 4, e & 15
             same = c[0] == c[1]
             q = self.base_q + k
             q[0] += same * 16
-            a = chance[q]
-            f2 = 48 + ((a[0] * 62000) >> 16)
-            f1 = 24 + ((a[1] * (TOTAL - 2048 - f2)) >> 16)
+            a = chance.take(q)
+            f2 = 64 + ((a[0] * (TOTAL - 8192)) >> 16)
+            f1 = 64 + ((a[1] * (TOTAL - 4096 - f2)) >> 16)
             f1 *= ~same
             edge = f2 + f1
-            k0 = 1 + (((TOTAL - 1100 - edge) * chance0) >> (16 + BITS0))
-            top = edge + (k0 << BITS0)
-            r = rng >> 16
+            unit = ((TOTAL - 1024 - edge) * chance0 >> 16) // np.maximum(mass[0], 1)
+            unit += unit == 0  # 4,000 slots of the least weight fit beside the other shares
+            top = edge + mass[0] * unit
+            r = rng >> SCALE
             if encode:
-                x = ids[step]
+                x = slots[step]
                 hit = c == x
-                slot = ((x * A) & MASK32) >> (32 - BITS0)
-                in0 = slots[self.base0 + slot] == x
-                start = np.where(in0, edge + slot * k0, top)
-                size = np.where(in0, k0, TOTAL - top)
-                low_of = np.where(hit[0], 0, np.where(hit[1], f2, start))
-                low += r * low_of
-                rng = r * np.where(hit[0], f2, np.where(hit[1], f1, size))
+                new = x == self.slots
+                at = self.line + x
+                j = self.level.take(at).astype(np.int64)
+                above, size = (j + 1) * lanes + every, WEIGHT.take(j)
+                in0 = edge + (mass_flat.take(above) + (self.rank.take(at) - ranks.take(above)) * size) * unit
+                low += r * np.where(hit[0], 0, np.where(hit[1], f2, np.where(new, top, in0)))
+                rng = r * np.where(hit[0], f2, np.where(hit[1], f1, np.where(new, TOTAL - top, size * unit)))
+                over1 = ~(hit[0] | hit[1])
             else:
-                v = low // r
-                over1, over0 = v >= edge, v >= top
-                slot = (v - edge) // k0
-                slot[~over1 | over0] = 0
-                start = np.where(over0, top, edge + slot * k0)
-                size = np.where(over0, TOTAL - top, k0)
-                by2 = v < f2
-                low -= r * np.where(by2, 0, np.where(over1, start, f2))
-                rng = r * np.where(by2, f2, np.where(over1, size, f1))
-                x = np.where(by2, c[0], np.where(over1, slots[self.base0 + slot], c[1])).astype(np.int64)
+                v = np.minimum(low // r, TOTAL - 1)
+                over1, new, by2 = v >= edge, v >= top, v < f2
+                w = np.where(over1 & ~new, v - edge, 0) // unit
+                j = np.add.reduce((mass[1 : TOP + 1] > w).view(np.int8), axis=0, dtype=np.int8).astype(np.int64)
+                above, size = (j + 1) * lanes + every, WEIGHT.take(j)
+                below, first = mass_flat.take(above), ranks.take(above)
+                nth = (w - below) // size
+                x = np.where(by2, c[0], np.where(over1, np.where(new, self.slots, self.by_rank.take(self.line + np.minimum(first + nth, steps - 1))), c[1]))
+                low -= r * np.where(by2, 0, np.where(over1, np.where(new, top, edge + (below + nth * size) * unit), f2))
+                rng = r * np.where(by2, f2, np.where(over1, np.where(new, TOTAL - top, size * unit), f1))
+                x = np.minimum(x, steps - 1)  # only a damaged block needs the bound; its checksum tells
+                at = self.line + x
+                hit = c == x
             need = np.flatnonzero(rng < 1 << WORD)
             if len(need):
                 shift(need)
-            if encode:
-                missed = ~(hit[0] | hit[1])
-                new = np.flatnonzero(missed & ~in0)
-                if len(new):
-                    y = x[new]
+            fresh = np.flatnonzero(new)
+            if len(fresh):
+                if encode:
+                    y = ids[step][fresh]
                     if self.wide:
-                        bits16(new, y >> 16)
-                    bits16(new, y & 0xFFFF)
-                    slots[self.base0[new] + slot[new]] = y
-                missed = np.flatnonzero(missed)
-                chance0[missed] += ((in0[missed] * TOTAL) - chance0[missed]) >> 5
-            else:
-                new = np.flatnonzero(over0)
-                if len(new):
-                    y = bits16(new, None)
+                        bits16(fresh, y >> 16)
+                    bits16(fresh, y & 0xFFFF)
+                else:
+                    y = bits16(fresh, None)
                     if self.wide:
-                        y = (y << 16) | bits16(new, None)
-                    x[new] = y
-                    slots[self.base0[new] + (((y * A) & MASK32) >> (32 - BITS0))] = y
-                missed = np.flatnonzero(over1)
-                chance0[missed] += ((~over0[missed] * TOTAL) - chance0[missed]) >> 5
-                hit = c == x
-                result[step] = x
-            # order 1 learns where order 2 was wrong and they differ; both tables always learn the id
-            more = ((hit * TOTAL) - a) >> 5
+                        y = (y << 16) | bits16(fresh, None)
+                    names[at[fresh]] = y
+            if not encode:
+                result[step] = names.take(at)
+            chance0 += np.where(over1, (~new * (1 << 16)) - chance0, 0) >> 5
+            # order 1 learns where order 2 was wrong and they differ; all tables always learn the slot
+            more = ((hit * (1 << 16)) - a) >> 5
             more[1] *= ~(hit[0] | same)
             chance[q] = a + more
             table[place] = np.where(hit, e + (k < 15), np.where(k < 2, (x << 4) | 1, e - k + (k >> 1)))
+            self._count(x, at, fresh)
             p2, p1 = p1, x
         if not encode:
             return result
@@ -167,6 +216,24 @@ class _Coder:
         return grid, count
 
 
+def slots_of(ids: np.ndarray) -> np.ndarray:
+    """Of each id (steps x lanes) the number of different ids that came up in its lane before its first time."""
+    steps, lanes = ids.shape
+    keys = (ids.T.astype(np.uint64) << np.uint64(12)) | np.arange(steps, dtype=np.uint64)
+    keys.sort(axis=1)
+    step, value = (keys & np.uint64(4095)).astype(np.int64), keys >> np.uint64(12)
+    begins = np.ones(keys.shape, bool)
+    begins[:, 1:] = value[:, 1:] != value[:, :-1]
+    group = (np.cumsum(begins.ravel()) - 1).reshape(keys.shape)
+    first = np.zeros((lanes, steps), np.int64)
+    np.put_along_axis(first, step, begins.astype(np.int64), axis=1)  # 1 where an id comes up for the first time
+    order = np.cumsum(first, axis=1) - 1
+    of_group = np.take_along_axis(order, step, axis=1)[begins]
+    out = np.empty((lanes, steps), np.int64)
+    np.put_along_axis(out, step, of_group[group], axis=1)
+    return np.ascontiguousarray(out.T)
+
+
 def encode_blocks(ids: np.ndarray, block: int, wide: bool) -> list[bytes]:
     """Code of each block of ``ids``: 24-bit little-endian words."""
     if not len(ids):
@@ -175,7 +242,8 @@ def encode_blocks(ids: np.ndarray, block: int, wide: bool) -> list[bytes]:
     steps = min(block, len(ids))
     padded = np.zeros(lanes * steps, np.int64)
     padded[: len(ids)] = ids
-    grid, count = _Coder(lanes, wide).run(steps, np.ascontiguousarray(padded.reshape(lanes, steps).T), None)
+    by_step = np.ascontiguousarray(padded.reshape(lanes, steps).T)
+    grid, count = _Coder(lanes, steps, wide).run(slots_of(by_step), by_step, None)
     lines = np.ascontiguousarray(grid[: int(count.max())].T.astype("<u4")).view(np.uint8).reshape(lanes, -1, 4)[:, :, :3]
     return [lines[i, : count[i]].tobytes() for i in range(lanes)]
 
@@ -190,4 +258,4 @@ def decode_blocks(codes: list[bytes], n: int, block: int, wide: bool) -> np.ndar
     for i, c in enumerate(codes):
         grid[i, : len(c) // 3, :3] = np.frombuffer(c, np.uint8).reshape(-1, 3)
     words = np.ascontiguousarray(grid.view("<u4")[:, :, 0].T).astype(np.int64)
-    return np.ascontiguousarray(_Coder(lanes, wide).run(steps, None, words).T).ravel()[:n]
+    return np.ascontiguousarray(_Coder(lanes, steps, wide).run(None, None, words).T).ravel()[:n]
