@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cubetally.functions.hashing import HashFamily, key_hash
+from cubetally.plans.schema import floor_div
 
 EXACT_UNDER = 10_000
 
@@ -59,7 +60,7 @@ def bitmaps(df: DataFrame, columns: dict[str, int], side: int) -> DataFrame:
     limits = bitmap_exponents(df, columns, side)
     w = F.pow(F.col("base").cast("double"), F.col("e")).cast("long")
     # one row a column: broadcast whatever the data
-    return tall.join(F.broadcast(limits), "col").select("col", "e", F.floor((F.col("v") - F.pmod("v", w)) / w).cast("long").alias("bucket")).distinct()
+    return tall.join(F.broadcast(limits), "col").select("col", "e", floor_div(F.col("v"), w).alias("bucket")).distinct()
 
 
 def merged_bitmaps(tables: list[DataFrame], bases: dict[str, int]) -> DataFrame:
@@ -68,7 +69,7 @@ def merged_bitmaps(tables: list[DataFrame], bases: dict[str, int]) -> DataFrame:
     base = functools.reduce(lambda rest, c: F.when(F.col("col") == c, F.lit(bases[c])).otherwise(rest), bases, F.lit(None))
     top = every.groupBy("col").agg(F.max("e").alias("top"))
     w = F.pow(base.cast("double"), F.col("top") - F.col("e")).cast("long")
-    return every.join(F.broadcast(top), "col").select("col", F.col("top").alias("e"), F.floor((F.col("bucket") - F.pmod("bucket", w)) / w).cast("long").alias("bucket")).distinct()
+    return every.join(F.broadcast(top), "col").select("col", F.col("top").alias("e"), floor_div(F.col("bucket"), w).alias("bucket")).distinct()
 
 
 def pruned(blocks: DataFrame, bits: DataFrame, base: int) -> DataFrame:

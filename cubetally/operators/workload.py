@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,3 +93,45 @@ def queries_of_selectivity(df: DataFrame, layout: Layout, target: float, toleran
 def synthetic(spark: SparkSession, rows: int, dims: int, seed: int, spread: float = 100.0) -> DataFrame:
     """d_0 ... of whole numbers, normal around 0."""
     return spark.range(rows).select(*[F.round(F.randn(seed + i) * spread).cast("long").alias(f"d_{i}") for i in range(dims)])
+
+
+def with_domains(df: DataFrame, layout: Layout) -> Layout:
+    """``layout`` with the sorted distinct values of each category; domains are small by design, only they reach the driver."""
+    values: dict[str, list[str]] = {c: [] for c in layout.cats}
+    for r in value_frequencies(df, list(layout.cats)).select("col", "value").where("value is not null").orderBy("col", "value").collect():
+        values[r["col"]].append(r["value"])
+    return replace(layout, domains={c: tuple(v) for c, v in values.items()})
+
+
+def combinations_of(layout: Layout) -> int:
+    """Product of the domains' sizes."""
+    return math.prod(len(v) for v in layout.domains.values())
+
+
+def category_queries(df: DataFrame, layout: Layout, target: float) -> list[tuple[str, str]]:
+    """(column, value) a category column: the value whose frequency is nearest to ``target``."""
+    found = category_for(value_frequencies(df, list(layout.cats)), target).orderBy("col").collect()  # one row a column
+    return [(r["col"], r["value"]) for r in found]
+
+
+def mask_queries(df: DataFrame, layout: Layout, masks: list[tuple[int, ...]], low: float, high: float) -> list[Query]:
+    """One range query a stored mask: its numbers between two of their quantiles, taken from value counts."""
+    bounds = {}
+    for n in sorted({layout.nums[i] for m in masks for i in m}):
+        counts = df.where(F.col(n).isNotNull()).groupBy(n).agg(F.count("*").alias("n"))
+        total = counts.agg(F.sum("n")).first()[0]
+        if total:
+            bounds[n] = tuple(_ranked(counts, n, max(1, math.ceil(share * total))) for share in (low, high))
+    return [{layout.nums[i]: bounds[layout.nums[i]] for i in m if layout.nums[i] in bounds} for m in masks]
+
+
+def _ranked(counts: DataFrame, name: str, k: int) -> int:
+    """The k-th smallest value of (value, n) counts, by halving the value range: one small aggregate a step."""
+    lo, hi = counts.agg(F.min(name), F.max(name)).first()
+    while lo < hi:
+        mid = (lo + hi) // 2
+        if (counts.where(F.col(name) <= mid).agg(F.sum("n")).first()[0] or 0) >= k:
+            hi = mid
+        else:
+            lo = mid + 1
+    return lo

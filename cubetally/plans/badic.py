@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cubetally.plans.schema import floor_div
+
 
 def cover(base: int, lo: int, hi: int, cap: int | None = None) -> list[tuple[int, int]]:
     """The minimal (level, idx) blocks of [lo, hi], by first value; ``cap`` is the highest level allowed."""
@@ -48,10 +50,6 @@ def aligned(base: int, lo: int, hi: int, level: int) -> tuple[int, int]:
     return round(lo / w) * w, max(round(lo / w) * w, round((hi + 1) / w) * w - 1)
 
 
-def floor_div(a: Column, w: Column) -> Column:
-    return F.floor((a - F.pmod(a, w)) / w).cast("long")
-
-
 def cover_table(ranges: DataFrame, levels: int) -> DataFrame:
     """(…, lvl, idx) of the cover of each row's (base, lo, hi), base 2 or more, as column expressions.
 

@@ -76,10 +76,18 @@ def grouping_sets(layout: Layout, level: int) -> list[tuple[int, tuple[int, ...]
     return list(product(layout.prefixes(), masks))
 
 
+def floor_div(value: Column, w: Column | int) -> Column:
+    """floor(value / w) of longs, towards minus infinity and exact for all of them; ``w`` is 1 or more."""
+    w = F.lit(w) if isinstance(w, int) else w
+    return F.call_function("div", value.cast("long"), w) - F.when(value % w < 0, 1).otherwise(0)
+
+
 def level_index(value: Column, base: int, level: int) -> Column:
     """floor(value / base**level) on whole numbers, towards minus infinity and exact for all longs."""
     w = base**level
-    return value if w == 1 else ((value - F.pmod(value, F.lit(w))) / F.lit(w)).cast("long") if w < 1 << 20 else F.floor(value / F.lit(w))
+    if w >= 1 << 63:  # one block on each side of 0
+        return F.when(value < 0, -1).when(value >= 0, 0).cast("long")
+    return value if w == 1 else floor_div(value, w)
 
 
 def canonical(df: DataFrame, layout: Layout) -> DataFrame:

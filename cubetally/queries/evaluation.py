@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,10 +161,10 @@ def random_workload(spark: SparkSession, sf: str) -> DataFrame:
     return regions.estimates(rows, qs, LI).join(predicates.count_each(rows, qs, LI), "query_id").select("query_id", (F.col("n") == F.col("estimate")).alias("same"))
 
 
-@query("selectivity_workload", f"WITH {LI_SQL} SELECT count(*) AS n FROM li WHERE c0 = 'N'")
+@query("selectivity_workload", f"WITH {LI_SQL}, t AS (SELECT c0, count(*) AS n FROM li GROUP BY c0) SELECT n FROM t ORDER BY abs(n / (SELECT count(*) FROM li)::DOUBLE - 0.33), c0 LIMIT 1")
 def selectivity_workload(spark: SparkSession, sf: str) -> DataFrame:
     rows = li(spark, sf)
-    q = {"c0": [workload.category_for(workload.value_frequencies(rows, ["c0"]).where("value = 'N'"), 0.33).first()["value"]]}
+    q = {"c0": [workload.category_for(workload.value_frequencies(rows, ["c0"]), 0.33).first()["value"]]}
     return predicates.count_each(rows, [q], LI).select("n")
 
 
@@ -233,7 +234,7 @@ def prep_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cubetally-")).rstrip("/") + f"/store-{spark.sparkContext.applicationId}-{id(object())}"
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cubetally-")).rstrip("/") + f"/store-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
 
 @query("sketch_roundtrip", f"WITH {LI_SQL}, {regions_sql(LI_SMALL, 'g', 'li')} SELECT CAST(lvl AS BIGINT) AS lvl, gid, count(*) AS n_regions, CAST(sum(n) AS BIGINT) AS n_updates, (SELECT count(*) FROM li) AS n_rows FROM g GROUP BY lvl, gid")

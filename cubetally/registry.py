@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubetally.queries import evaluation, exact, privacy, region_queries, synopses
+from cubetally.queries import answers, evaluation, exact, privacy, region_queries, synopses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (exact, region_queries, synopses, privacy, evaluation):
+for _module in (exact, region_queries, synopses, privacy, evaluation, answers):
     QUERIES |= _module.Q
     ORACLES |= _module.SQL
