@@ -1,9 +1,9 @@
 """Token-ID output: sections of range-coded blocks, in ascending doc_id order, and their reader.
 
 A section is one binary value that holds whole documents, SECTION_TOKENS ids at least (the last one of a shard
-less).  Layout, little-endian:
+may hold less; a rest of under half of that goes into the section before).  Layout, little-endian:
 
-    bytes 0-3    magic "CTR1"
+    bytes 0-3    magic "CTR2"
     byte  4      1 if ids may take 32 bits, else 0 (16 bits)
     u32          ids a block
     u64          ids in the section
@@ -36,10 +36,10 @@ from cubetally.llm.rangecoder import decode_blocks, encode_blocks
 from cubetally.llm.shared import new_path
 from cubetally.llm.tokens import crc_ids, default_path, encoder
 
-MAGIC = b"CTR1"
+MAGIC = b"CTR2"
 HEAD = struct.Struct("<4sBIQII")
 BLOCK = 2048
-SECTION_TOKENS = 4_000_000
+SECTION_TOKENS = 6_000_000
 SECTIONS = "shard int, section int, start long, n_ids long, payload binary"
 
 
@@ -123,12 +123,16 @@ def write_tokens(documents: DataFrame, target: str, path: str, kind: str = "byte
     rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("doc_id", "n_ids", "ids")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, parts, counts, shard, section, start = [], [], [], 0, 0, 0
+        schema = pa.schema([("shard", pa.int32()), ("section", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
+        names, parts, counts, full, shard, section, start = [], [], [], 0, 0, 0, 0  # the first ``full`` documents fill a section
 
-        def row() -> pa.RecordBatch:
-            ids = np.concatenate(parts)
-            payload = write_section(names, np.array(counts), ids)
-            return pa.RecordBatch.from_pylist([{"shard": shard, "section": section, "start": start, "n_ids": len(ids), "payload": payload}], pa.schema([("shard", pa.int32()), ("section", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())]))
+        def row(to: int) -> pa.RecordBatch:
+            nonlocal names, parts, counts, section, start
+            ids = np.concatenate(parts[:to])
+            out = {"shard": shard, "section": section, "start": start, "n_ids": len(ids), "payload": write_section(names[:to], np.array(counts[:to]), ids)}
+            start, section = start + len(ids), section + 1
+            names, parts, counts = names[to:], parts[to:], counts[to:]
+            return pa.RecordBatch.from_pylist([out], schema)
 
         for b in batches:
             for doc_id, n, raw, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
@@ -137,21 +141,20 @@ def write_tokens(documents: DataFrame, target: str, path: str, kind: str = "byte
                 names.append(doc_id)
                 counts.append(n)
                 parts.append(np.frombuffer(data, "<u2" if data.size == 2 * n else "<u4").astype(np.uint32))
-                if sum_reached(counts):
-                    yield row()
-                    start, section = start + sum(counts), section + 1
-                    names, parts, counts = [], [], []
+                # looked at every 64 documents, or at once after a long one
+                if len(counts) % 64 and n <= 100_000:
+                    continue
+                if not full:
+                    full = len(counts) if sum(counts) >= SECTION_TOKENS else 0
+                elif sum(counts[full:]) >= SECTION_TOKENS // 2:
+                    yield row(full)
+                    full = len(counts) if sum(counts) >= SECTION_TOKENS else 0
         if names:
-            yield row()
+            yield row(len(names))
 
     rows.mapInArrow(releasing(task), SECTIONS).write.mode("overwrite").option("compression", "none").parquet(target)
 
 
-def sum_reached(counts: list[int]) -> bool:
-    # looked at every 64 documents, or at once after a long one
-    return (len(counts) % 64 == 0 or counts[-1] > 100_000) and sum(counts) >= SECTION_TOKENS
-
-
 def read_tokens(spark: SparkSession, source: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids) of each document under ``source``."""
     sections = spark.read.schema(SECTIONS).parquet(source)

@@ -5,17 +5,18 @@ up in the block.  Three predictors speak for the next slot:
 
 * order 2: the slot that last followed the two before, with a count of how often it was right in a row;
 * order 1: the slot that last followed the one before, likewise;
-* order 0: all slots of the block by how often they came up (counts exact to 6, then in steps of up to a third).
+* order 0: all slots of the block by how often they came up.
 
 Their distributions are mixed with weights that adapt within the block: one weight for each count of order 2 (apart
 where both name the same slot) and of order 1, and one for order 0 against a new id, whose bits follow.  The mixture
-drives one range-coder step an id.  Order 0 keeps slots sorted by count: a slot that rises changes places with the
-first of its level, so a step costs the same for any number of slots.
+drives one range-coder step an id.  The counts of order 0 are brought up to date at fixed steps, an eighth of the ids
+so far apart (16 at least); a slot that came up since counts as one.  Between them its cumulative counts and their
+inverse are two tables, so that a step costs one look-up for any number of slots.
 
 All blocks of a section advance in step ("lanes"), so each numpy call codes one id of every block.  The range
 coder has a 48-bit window and 24-bit words; a word's carry stays in its upper bits until the end.
 
-Cases: no ids give no blocks; blocks hold 4,000 ids at most; ids are unsigned 16-bit, or 32-bit where ``wide``.
+Cases: no ids give no blocks; blocks hold 3,800 ids at most; ids are unsigned 16-bit, or 32-bit where ``wide``.
 """
 
 from __future__ import annotations
@@ -30,23 +31,12 @@ MASK = (1 << WORD) - 1
 MASK32 = (1 << 32) - 1
 A, B = 0x9E3779B1, 0x85EBCA6B
 NONE = 4095  # no slot
-RISES = np.array([1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 40, 48, 64])  # count at which a slot enters each level
-WEIGHT = 2 * RISES - 1  # a slot's share of order 0, by level: its count less a half
-TOP = len(RISES) - 1
+REFRESHED = 64
+ONE = np.int32(1 << 16)
 
 
-def _level_changes() -> np.ndarray:
-    """What a rise from level j (column j) adds to the mass of each level and all above it."""
-    out = np.zeros((TOP + 2, TOP), np.int32)
-    for j in range(TOP):
-        out[: j + 1, j] = WEIGHT[j + 1] - WEIGHT[j]
-        out[j + 1, j] = WEIGHT[j + 1]
-    return out
-
-
-CHANGES = _level_changes()
-IS_RISE = np.zeros(RISES[-1] + 2, bool)
-IS_RISE[RISES[1:]] = True
+def _next_refresh(step: int) -> int:
+    return step + max(16, step >> 3)
 
 
 class _Coder:
@@ -56,44 +46,41 @@ class _Coder:
         self.lanes, self.steps, self.wide = lanes, steps, wide
         at = np.arange(lanes, dtype=np.int64)
         # the tables of both orders lie behind one another, so that one call serves both
-        self.base2, self.base1, self.line = at << BITS2, (lanes << BITS2) + at * steps, at * steps
+        self.base2, self.base1 = at << BITS2, (lanes << BITS2) + at * steps
         self.table = np.full(lanes * ((1 << BITS2) + steps), NONE << 4, np.uint16)
-        prior = np.array([0, 16, 32, 40, 48, 52, 56, 58] + [60] * 8, np.int64) << 10
+        prior = np.array([0, 16, 32, 40, 48, 52, 56, 58] + [60] * 8, np.int32) << 10
         self.base_q = np.stack([at * 48, at * 48 + 32])
         self.chance = np.tile(np.concatenate([prior, np.minimum(prior + 4096, 63 << 10), prior]), lanes)
-        self.chance0 = np.full(lanes, 1 << 14, np.int64)
-        # order 0: slots by rank, rank and level and count by slot, mass and number of slots at or above each level
-        self.by_rank, self.rank = np.zeros(lanes * steps, np.uint16), np.zeros(lanes * steps, np.uint16)
-        self.level, self.seen = np.zeros(lanes * steps, np.uint8), np.zeros(lanes * steps, np.uint16)
-        self.mass, self.ranks = np.zeros((TOP + 2, lanes), np.int32), np.zeros((TOP + 2) * lanes, np.int64)
+        self.chance0 = np.full(lanes, 1 << 14, np.int32)
+        self.counts = np.zeros((lanes, steps), np.int32)
+        self.span_room, self.inverse_room = np.empty(lanes * steps, np.int32), np.empty(lanes * steps, np.uint16)
         self.slots = np.zeros(lanes, np.int64)
 
-    def _count(self, x: np.ndarray, place: np.ndarray, fresh: np.ndarray) -> None:
-        """Order 0 learns slot x of each lane; ``place`` is where it stands, ``fresh`` the lanes where it is new."""
-        lanes = self.lanes
-        seen = self.seen.take(place) + np.uint16(1)
-        self.seen[place] = seen
-        if len(fresh):
-            last = self.ranks[fresh]  # level 0 is the first line: all slots
-            self.by_rank[self.line[fresh] + last] = x[fresh]
-            self.rank[place[fresh]] = last
-            self.ranks[fresh] = last + 1
-            self.mass[0, fresh] += WEIGHT[0]
-            self.slots[fresh] += 1
-        rise = np.flatnonzero(IS_RISE.take(seen, mode="clip"))
-        if len(rise):
-            line, mine = self.line[rise], place[rise]
-            up = self.level[mine].astype(np.int64)
-            above = (up + 1) * lanes + rise
-            self.mass[:, rise] += CHANGES[:, up]
-            here, first = self.rank[mine], self.ranks[above]
-            other = self.by_rank[line + first]
-            self.by_rank[line + here] = other
-            self.rank[line + other] = here
-            self.by_rank[line + first] = x[rise]
-            self.rank[mine] = first
-            self.ranks[above] = first + 1
-            self.level[mine] = up + 1
+    def _refresh(self, step: int, recent: np.ndarray, decode: bool) -> None:
+        """Order 0 counts ``recent`` (slots, steps x lanes) and lays its tables out for the steps to the next time."""
+        lanes, steps = self.lanes, self.steps
+        most = int(self.slots.max())
+        ahead = min(_next_refresh(step), steps) - step
+        width, places = min(most + ahead, steps), step + ahead
+        every = np.arange(lanes, dtype=np.int64)
+        self.line, self.line_inverse = every * width, every * places
+        self.spans = self.span_room[: lanes * width]  # start and weight by slot
+        self.inverse = self.inverse_room[: lanes * places]  # slot by place in the cumulative counts
+        for at in range(0, lanes, REFRESHED):  # few lanes at once stay in the cache
+            to = min(at + REFRESHED, lanes)
+            counts = self.counts[at:to, :width]
+            if step:
+                seen = every[: to - at] * most + recent[:, at:to]
+                counts[:, :most] += np.bincount(seen.ravel(), minlength=(to - at) * most).reshape(to - at, most)
+            weight = np.maximum(counts, 1)
+            ends = np.cumsum(weight, axis=1, dtype=np.int32)
+            self.spans[at * width : to * width] = (((ends - weight) << 12) | weight).ravel()
+            if decode:
+                inverse = self.inverse[at * places : to * places].reshape(to - at, places)
+                if step:
+                    names = np.tile(np.arange(most, dtype=np.uint16), to - at)
+                    inverse[:, :step] = np.repeat(names, counts[:, :most].ravel()).reshape(to - at, step)
+                inverse[:, step:] = self.slots[at:to, None] + np.arange(ahead)
 
     def run(self, slots: np.ndarray | None, ids: np.ndarray | None, words: np.ndarray | None):
         """(words, counts) of ``slots`` and ``ids`` (steps x lanes), or the ids of ``words`` (words x lanes)."""
@@ -108,8 +95,8 @@ class _Coder:
             flat, end = words.ravel(), len(words) * lanes - lanes
             low = (words[0].astype(np.int64) << WORD) | words[1]  # distance of the code from the interval's start
             pos += 2 * lanes
-            result = np.zeros((steps, lanes), np.int64)
-            names = np.zeros(lanes * steps, np.uint32)  # id of each slot
+            slots = np.zeros((steps, lanes), np.uint16)
+            added = np.full((steps, lanes), -1, np.int64)  # ids where they are new
 
         def shift(need: np.ndarray) -> None:
             at = pos[need]
@@ -134,58 +121,60 @@ class _Coder:
             return value
 
         place = np.empty((2, lanes), np.int64)
-        table, chance, chance0, mass, ranks = self.table, self.chance, self.chance0, self.mass, self.ranks
-        mass_flat = mass.ravel()  # a view
+        table, chance, chance0 = self.table, self.chance, self.chance0
         p1 = p2 = np.zeros(lanes, np.int64)
+        refresh, mass = 0, np.zeros(lanes, np.int32)
         for step in range(steps):
+            if step == refresh:
+                self._refresh(step, slots[since:step] if step else slots[:0], not encode)
+                since, refresh = step, _next_refresh(step)
+                mass[:] = step
             np.add(self.base2, ((p1 * A + p2 * B) & MASK32) >> (32 - BITS2), out=place[0])
             np.add(self.base1, p1, out=place[1])
-            e = table.take(place).astype(np.int64)
+            e = table.take(place)
             c, k = e >> 4, e & 15
             same = c[0] == c[1]
             q = self.base_q + k
             q[0] += same * 16
             a = chance.take(q)
-            f2 = 64 + ((a[0] * (TOTAL - 8192)) >> 16)
-            f1 = 64 + ((a[1] * (TOTAL - 4096 - f2)) >> 16)
+            f2 = 64 + (((a[0] >> 3) * np.int32(TOTAL - 8192)) >> 13)
+            f1 = 64 + (((a[1] >> 3) * (TOTAL - 4096 - f2)) >> 13)
             f1 *= ~same
             edge = f2 + f1
-            unit = ((TOTAL - 1024 - edge) * chance0 >> 16) // np.maximum(mass[0], 1)
-            unit += unit == 0  # 4,000 slots of the least weight fit beside the other shares
-            top = edge + mass[0] * unit
+            # quotients of an 18-bit whole number are floored rightly from floats, which divide faster
+            unit = ((((TOTAL - 1024 - edge) * (chance0 >> 3)) >> 13).astype(np.float32) / np.maximum(mass, 1).astype(np.float32)).astype(np.int32)
+            np.maximum(unit, 1, out=unit)  # 3,800 slots of the least weight fit beside the other shares
+            top = edge + mass * unit
             r = rng >> SCALE
             if encode:
-                x = slots[step]
+                x = slots[step].astype(np.int64)
                 hit = c == x
                 new = x == self.slots
-                at = self.line + x
-                j = self.level.take(at).astype(np.int64)
-                above, size = (j + 1) * lanes + every, WEIGHT.take(j)
-                in0 = edge + (mass_flat.take(above) + (self.rank.take(at) - ranks.take(above)) * size) * unit
-                low += r * np.where(hit[0], 0, np.where(hit[1], f2, np.where(new, top, in0)))
-                rng = r * np.where(hit[0], f2, np.where(hit[1], f1, np.where(new, TOTAL - top, size * unit)))
-                over1 = ~(hit[0] | hit[1])
+                by2, over1 = hit[0], ~(hit[0] | hit[1])
             else:
-                v = np.minimum(low // r, TOTAL - 1)
+                v = np.minimum(low / r, TOTAL - 1).astype(np.int32)
                 over1, new, by2 = v >= edge, v >= top, v < f2
-                w = np.where(over1 & ~new, v - edge, 0) // unit
-                j = np.add.reduce((mass[1 : TOP + 1] > w).view(np.int8), axis=0, dtype=np.int8).astype(np.int64)
-                above, size = (j + 1) * lanes + every, WEIGHT.take(j)
-                below, first = mass_flat.take(above), ranks.take(above)
-                nth = (w - below) // size
-                x = np.where(by2, c[0], np.where(over1, np.where(new, self.slots, self.by_rank.take(self.line + np.minimum(first + nth, steps - 1))), c[1]))
-                low -= r * np.where(by2, 0, np.where(over1, np.where(new, top, edge + (below + nth * size) * unit), f2))
-                rng = r * np.where(by2, f2, np.where(over1, np.where(new, TOTAL - top, size * unit), f1))
-                x = np.minimum(x, steps - 1)  # only a damaged block needs the bound; its checksum tells
-                at = self.line + x
+                w = (np.maximum(v - edge, 0).astype(np.float32) / unit.astype(np.float32)).astype(np.int32)
+                nth = self.inverse.take(self.line_inverse + np.minimum(w, mass))  # after all slots stands the new one
+                x = np.where(over1, nth, np.where(by2, c[0], c[1]))
+                x = np.minimum(x, self.slots)  # only a damaged block needs the bound; its checksum tells
+                slots[step] = x
                 hit = c == x
+            span = self.spans.take(self.line + x)
+            start = np.where(over1, edge + (span >> 12) * unit, ~by2 * f2)
+            share = np.where(over1, np.where(new, TOTAL - top, (span & 4095) * unit), np.where(by2, f2, f1))
+            if encode:
+                low += r * start
+            else:
+                low -= r * start
+            rng = r * share
             need = np.flatnonzero(rng < 1 << WORD)
             if len(need):
                 shift(need)
             fresh = np.flatnonzero(new)
             if len(fresh):
                 if encode:
-                    y = ids[step][fresh]
+                    y = ids[step][fresh].astype(np.int64)
                     if self.wide:
                         bits16(fresh, y >> 16)
                     bits16(fresh, y & 0xFFFF)
@@ -193,19 +182,24 @@ class _Coder:
                     y = bits16(fresh, None)
                     if self.wide:
                         y = (y << 16) | bits16(fresh, None)
-                    names[at[fresh]] = y
-            if not encode:
-                result[step] = names.take(at)
-            chance0 += np.where(over1, (~new * (1 << 16)) - chance0, 0) >> 5
+                    added[step][fresh] = y
+                self.slots += new
+                mass += new
+            chance0 += ((~new * ONE - chance0) * over1) >> 5
             # order 1 learns where order 2 was wrong and they differ; all tables always learn the slot
-            more = ((hit * (1 << 16)) - a) >> 5
+            more = (hit * ONE - a) >> 5
             more[1] *= ~(hit[0] | same)
             chance[q] = a + more
-            table[place] = np.where(hit, e + (k < 15), np.where(k < 2, (x << 4) | 1, e - k + (k >> 1)))
-            self._count(x, at, fresh)
+            miss = ~hit
+            kept = e + (hit & (k < 15)) - miss * (k - (k >> 1))
+            named = (x << 4 | 1).astype(np.uint16)
+            table[place] = kept ^ ((kept ^ named) & -(miss & (k < 2)).astype(np.uint16))
             p2, p1 = p1, x
         if not encode:
-            return result
+            by_lane = np.ascontiguousarray(added.T)
+            known = by_lane >= 0
+            names, counts = by_lane[known], known.sum(axis=1)  # in the order of lanes and their slots
+            return names.take((np.cumsum(counts) - counts)[:, None] + slots.T, mode="clip")
         for part in (low >> WORD, low & MASK):
             out[pos] = part
             pos += lanes
@@ -217,21 +211,18 @@ class _Coder:
 
 
 def slots_of(ids: np.ndarray) -> np.ndarray:
-    """Of each id (steps x lanes) the number of different ids that came up in its lane before its first time."""
-    steps, lanes = ids.shape
-    keys = (ids.T.astype(np.uint64) << np.uint64(12)) | np.arange(steps, dtype=np.uint64)
-    keys.sort(axis=1)
-    step, value = (keys & np.uint64(4095)).astype(np.int64), keys >> np.uint64(12)
-    begins = np.ones(keys.shape, bool)
-    begins[:, 1:] = value[:, 1:] != value[:, :-1]
-    group = (np.cumsum(begins.ravel()) - 1).reshape(keys.shape)
-    first = np.zeros((lanes, steps), np.int64)
-    np.put_along_axis(first, step, begins.astype(np.int64), axis=1)  # 1 where an id comes up for the first time
-    order = np.cumsum(first, axis=1) - 1
-    of_group = np.take_along_axis(order, step, axis=1)[begins]
-    out = np.empty((lanes, steps), np.int64)
-    np.put_along_axis(out, step, of_group[group], axis=1)
-    return np.ascontiguousarray(out.T)
+    """Of each id (lanes x steps) the number of different ids that came up in its lane before its first time."""
+    steps = ids.shape[1]
+    at = np.arange(steps)
+    if ids.max() >= 1 << 20:
+        ids = np.unique(ids, return_inverse=True)[1].reshape(ids.shape)
+    first = np.zeros(int(ids.max()) + 1, np.int64)
+    out = np.empty(ids.shape, np.uint16)
+    for lane, line in zip(ids, out, strict=True):
+        first[lane[::-1]] = at[::-1]  # of repeated places the last value stays
+        begin = first[lane]
+        line[:] = (np.cumsum(begin == at, dtype=np.uint16) - np.uint16(1))[begin]
+    return out
 
 
 def encode_blocks(ids: np.ndarray, block: int, wide: bool) -> list[bytes]:
@@ -240,10 +231,11 @@ def encode_blocks(ids: np.ndarray, block: int, wide: bool) -> list[bytes]:
         return []
     lanes = -(-len(ids) // block)
     steps = min(block, len(ids))
-    padded = np.zeros(lanes * steps, np.int64)
+    padded = np.zeros(lanes * steps, np.uint32)
     padded[: len(ids)] = ids
-    by_step = np.ascontiguousarray(padded.reshape(lanes, steps).T)
-    grid, count = _Coder(lanes, steps, wide).run(slots_of(by_step), by_step, None)
+    by_lane = padded.reshape(lanes, steps)
+    by_step, slots = np.ascontiguousarray(by_lane.T), np.ascontiguousarray(slots_of(by_lane).T)
+    grid, count = _Coder(lanes, steps, wide).run(slots, by_step, None)
     lines = np.ascontiguousarray(grid[: int(count.max())].T.astype("<u4")).view(np.uint8).reshape(lanes, -1, 4)[:, :, :3]
     return [lines[i, : count[i]].tobytes() for i in range(lanes)]
 
@@ -258,4 +250,4 @@ def decode_blocks(codes: list[bytes], n: int, block: int, wide: bool) -> np.ndar
     for i, c in enumerate(codes):
         grid[i, : len(c) // 3, :3] = np.frombuffer(c, np.uint8).reshape(-1, 3)
     words = np.ascontiguousarray(grid.view("<u4")[:, :, 0].T).astype(np.int64)
-    return np.ascontiguousarray(_Coder(lanes, steps, wide).run(None, None, words).T).ravel()[:n]
+    return _Coder(lanes, steps, wide).run(None, None, words).ravel()[:n]
