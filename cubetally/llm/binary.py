@@ -1,6 +1,6 @@
 """Token-ID output: sections of range-coded blocks, in ascending doc_id order, and their reader.
 
-A section is one binary value that holds whole documents, SECTION_TOKENS ids at least (the last one of a shard
+A section is one binary value that holds whole documents, ``section_tokens`` ids at least (the last one of a shard
 may hold less; a rest of under half of that goes into the section before).  Layout, little-endian:
 
     bytes 0-3    magic "CTR2"
@@ -114,8 +114,8 @@ def token_rows(documents: DataFrame, path: str, kind: str, end_id: int) -> DataF
     return documents.select("doc_id", "text").mapInArrow(releasing(task), "doc_id long, n_ids long, ids binary")
 
 
-def write_tokens(documents: DataFrame, target: str, path: str, kind: str = "byte", end_id: int = 2, shards: int | None = None) -> None:
-    """Write all documents' ids as sections under ``target``."""
+def write_tokens(documents: DataFrame, target: str, path: str, kind: str = "byte", end_id: int = 2, shards: int | None = None, section_tokens: int = SECTION_TOKENS) -> None:
+    """Write all documents' ids as sections of ``section_tokens`` ids at least under ``target``."""
     spark = documents.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = token_rows(documents, path, kind, end_id).withColumn("shard", shard_of(documents, shards))
@@ -145,10 +145,10 @@ def write_tokens(documents: DataFrame, target: str, path: str, kind: str = "byte
                 if len(counts) % 64 and n <= 100_000:
                     continue
                 if not full:
-                    full = len(counts) if sum(counts) >= SECTION_TOKENS else 0
-                elif sum(counts[full:]) >= SECTION_TOKENS // 2:
+                    full = len(counts) if sum(counts) >= section_tokens else 0
+                elif sum(counts[full:]) >= section_tokens // 2:
                     yield row(full)
-                    full = len(counts) if sum(counts) >= SECTION_TOKENS else 0
+                    full = len(counts) if sum(counts) >= section_tokens else 0
         if names:
             yield row(len(names))
 

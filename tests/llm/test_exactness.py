@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cubetally.llm import jaccard, rangecoder, topk, toxicity
+from cubetally.llm import binary, jaccard, rangecoder, topk, toxicity
 from cubetally.llm.tokens import PieceEncoder, PieceTable, default_path
 
 
@@ -94,3 +94,22 @@ def test_range_coder_round_trips():
         wide = int(ids.max()) >= 1 << 16
         codes = rangecoder.encode_blocks(ids, 2048, wide)
         assert (rangecoder.decode_blocks(codes, len(ids), 2048, wide) == ids).all()
+
+
+def test_sections_cut_a_shard_and_take_small_rests(spark, sf, tmp_path):
+    path = default_path("byte_bpe_50k.json")
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    plain, at, wanted = Tokenizer.from_file(path), 0, []
+    for row in documents.orderBy("doc_id").collect():
+        ids = [*plain.encode(row.text or "", add_special_tokens=False).ids, 2]
+        wanted.append((row.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    sizes = {}
+    for least in (20_000, 1 << 40):
+        target = f"file://{tmp_path}/{least}"
+        binary.write_tokens(documents, target, path, shards=1, section_tokens=least)
+        rows = binary.read_tokens(spark, target).orderBy("doc_id").collect()
+        assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows] == wanted
+        sizes[least] = [r.n_ids for r in spark.read.parquet(target).orderBy("section").collect()]
+    assert len(sizes[20_000]) > 1 and min(sizes[20_000][:-1]) >= 20_000 and sizes[20_000][-1] >= 10_000
+    assert sizes[1 << 40] == [at]
