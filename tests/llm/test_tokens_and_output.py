@@ -113,15 +113,15 @@ def test_edits_follow_full_encoding(name, kind):
     rng = random.Random(3)
     e = enc(name, kind)
     texts = [*ODD, "Some words, and more. " * 200, "été 中 " * 300]
-    for r, raw, tree in edits.built(e, pa.array(texts)):
+    for r, tree in edits.built(e, pa.array(texts)):
         s = texts[r]
-        assert tree.tokens[1] == len(e.tokenizer.encode(s, add_special_tokens=False).ids)
+        assert tree.tokens == len(e.tokenizer.encode(s, add_special_tokens=False).ids)
         for _ in range(12):
             a, d, new = rng.randint(0, len(s) + 3), rng.choice([0, 1, 3, 40, 4000]), rng.choice(["", " ", "x", " foo bar", "\n", "é ", "'s ", "  \n\n "])
-            raw, again = edits.apply_edit(e, tree, raw, a, d, new)
+            edits.apply_edit(e, tree, a, d, new)
             s = s[:a] + new + s[a + d :]
-            assert raw.decode() == s
-            assert tree.tokens[1] == len(e.tokenizer.encode(s, add_special_tokens=False).ids)
+            assert tree.text().decode() == s
+            assert tree.tokens == len(e.tokenizer.encode(s, add_special_tokens=False).ids)
 
 
 def test_edited_counts(spark):
@@ -130,7 +130,41 @@ def test_edited_counts(spark):
     assert len(got) == 3 and got[None, 1]["n_tokens_edited"] == 0 and got[2, 0]["n_tokens"] == 0
     assert got[1, 2]["bytes_encoded_again"] < got[1, 2]["bytes_edited"] / 5
     assert edits.edited_counts(df.limit(0)).count() == 0
-    assert edits.trees(df).where("n_tokens = node_tokens[1]").count() == 4
+    assert edits.trees(df).where("n_tokens = aggregate(leaf_tokens, 0, (a, x) -> a + x)").count() == 4
+
+
+def test_stored_trees_are_taken_up_again(spark):
+    long = "some wörds, and more <|endoftext|> " * 700
+    rows = [(1, long, [(40, 3, "new words "), (9000, 60, None)]), (2, None, None), (3, "plain", [(5, 0, " end " * 400)]), (3, "plain", []), (4, "changed since", [])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:long,removed:long,added:string>>")
+    old = df.selectExpr("doc_id", "if(doc_id = 4, 'as it was', text) AS text")
+    kept = spark.createDataFrame(edits.trees(old).collect(), edits.STORED)  # doc_id 3 is stored twice
+    fresh, resumed = edits.edited_counts(df), edits.edited_counts(df, stored=kept)
+    by_row = lambda t: sorted(map(tuple, t.drop("bytes_built").collect()))
+    assert by_row(fresh) == by_row(resumed)
+    assert {r["doc_id"]: r["bytes_built"] for r in resumed.collect()} == {1: 0, 2: 0, 3: 0, 4: len("changed since")}
+    after = edits.edited_trees(df, stored=kept)
+    plain = enc(*FILES[0]).tokenizer
+    got = {(r["doc_id"], r["text"]): r for r in after.collect()}
+    assert set(got) == {(1, (t := long[:40] + "new words " + long[43:])[:9000] + t[9060:]), (2, ""), (3, "plain" + " end " * 400), (3, "plain"), (4, "changed since")}
+    for (_, text), r in got.items():
+        assert r["n_tokens"] == sum(r["leaf_tokens"]) == len(plain.encode(text, add_special_tokens=False).ids)
+        assert sum(r["leaf_bytes"]) == len(text.encode())
+    again = spark.createDataFrame([(k, t, [(0, 1, "A")]) for k, t in got], "doc_id long, text string, edits array<struct<start:long,removed:long,added:string>>")
+    counted = edits.edited_counts(again, stored=spark.createDataFrame(after.drop("text").collect(), edits.STORED))
+    assert counted.agg({"bytes_built": "sum"}).first()[0] == 0
+    assert sorted(r["n_tokens_edited"] for r in counted.collect()) == sorted(len(plain.encode("A" + t[1:], add_special_tokens=False).ids) for _, t in got)
+
+
+def test_edits_reencode_regions_only_and_leaves_are_dealt_again():
+    e = enc(*FILES[0])
+    (_, tree), *_ = edits.built(e, pa.array(["many words, é too. " * 40_000]))
+    n = tree.leaves
+    for k in range(300):  # one place grows: leaves there must not
+        assert edits.apply_edit(e, tree, 5000, 0, " and more") < 4000
+    assert tree.leaves > n
+    s = "many words, é too. " * 40_000
+    assert tree.text().decode() == s[:5000] + " and more" * 300 + s[5000:]
 
 
 MARKED = ["tab foo <|endoftext|> b", "<|endoftext|>", "a   <|endoftext|>   b", "x<|endoftext|>'s <|startoftext|><|endoftext|>é", "<|endof<|endoftext|>", "\n<|endoftext|>\n\n b", "<|endoftext", "|> a", "<|ENDOFTEXT|>", "e<|endoftext|>\u0301 <|startoftext|>z", "a    ", "b"]
@@ -152,12 +186,12 @@ def test_edits_make_and_break_added_tokens(name, kind):
     from tokenizers import Tokenizer
 
     plain, rng, e = Tokenizer.from_file(tokens.default_path(name)), random.Random(9), enc(name, kind)
-    for _, raw, tree in edits.built(e, pa.array(["some words <|endoftext|> and <|endof text|>, " * 30, "x<|startoftext|>" * 80])):
+    for _, tree in edits.built(e, pa.array(["some words <|endoftext|> and <|endof text|>, " * 30, "x<|startoftext|>" * 80])):
         for _ in range(60):
-            s = raw.decode()
+            s = tree.text().decode()
             a = rng.choice([m for m in range(len(s)) if s[m] in "<|>x "])
-            raw, _ = edits.apply_edit(e, tree, raw, a, rng.choice([0, 1, 3, 13]), rng.choice(["", "<|endoftext|>", "<|endof", "text|>", " ", "  <|startoftext"]))
-            assert tree.tokens[1] == len(plain.encode(raw.decode(), add_special_tokens=False).ids)
+            edits.apply_edit(e, tree, a, rng.choice([0, 1, 3, 13]), rng.choice(["", "<|endoftext|>", "<|endof", "text|>", " ", "  <|startoftext"]))
+            assert tree.tokens == len(plain.encode(tree.text().decode(), add_special_tokens=False).ids)
 
 
 def test_added_tokens_that_strip_are_encoded_by_whole_rows(tmp_path):
