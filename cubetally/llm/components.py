@@ -7,11 +7,20 @@ from pyspark.sql import functions as F
 
 from cubetally.llm.shared import written
 
+HUB_PARTS = 64  # parts of a node's neighbours
+
 
 def _with_least(sides: DataFrame) -> DataFrame:
-    """(u, v, m): each (u, v) with the least id among u and its neighbours; partial minima before the shuffle."""
-    least = sides.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("lu"), F.least("lu", "m").alias("m"))
-    return sides.join(least, sides["u"] == F.col("lu")).drop("lu")
+    """(u, v, m): each (u, v) with the least id among u and its neighbours.
+
+    The neighbours of a node are dealt over HUB_PARTS parts by id: the least one is found in two steps and comes
+    back once a part, so that a hub's edges meet in no single task.
+    """
+    dealt = sides.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(HUB_PARTS)).cast("int"))
+    parts = dealt.groupBy("u", "part").agg(F.min("v").alias("first"))
+    least = parts.groupBy("u").agg(F.min("first").alias("m"), F.collect_list("part").alias("parts"))
+    least = least.select(F.col("u").alias("lu"), F.least("u", "m").alias("m"), F.explode("parts").alias("lpart"))
+    return dealt.join(least, (dealt["u"] == F.col("lu")) & (dealt["part"] == F.col("lpart"))).select("u", "v", "m")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -80,6 +80,28 @@ def test_jaccard_of_nothing(spark):
     assert [tuple(r) for r in jaccard.linked_groups(docs_of(spark, [(1, None)])).collect()] == [(1, 0, 1)]
 
 
+def test_components_with_hubs(spark):
+    """Hubs at either end of the id order, shared leaves, repeated and looped edges, against union-find."""
+    rng = random.Random(6)
+    pairs = [(5, 10_000 + k) for k in range(3000)] + [(90_000, 20_000 + k) for k in range(2000)] + [(10_007, 20_003)]
+    pairs += [(rng.randrange(50_000, 52_000), rng.randrange(50_000, 52_000)) for _ in range(1500)] + pairs[:5] + [(7, 7)]
+    above = {}
+
+    def top(x):
+        while (y := above.get(x, x)) != x:
+            x = y
+        return x
+
+    for u, v in pairs:
+        if u != v:
+            a, b = sorted((top(u), top(v)))
+            above[b] = a
+            above.setdefault(a, a)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == {x: top(x) for x in above}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(1, 60).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v")).unionByName(spark.createDataFrame([(100, 101), (101, 101)], "u long, v long"))
     got = {r["node"]: r["root"] for r in components(edges).collect()}
