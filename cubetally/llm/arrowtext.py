@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 4 << 20
+SHINGLE_SLICE = 1 << 20  # hashing words takes some 40 bytes a byte of text
 SHINGLE = 5
 
 _SPACE = np.zeros(256, bool)
@@ -132,7 +133,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int = SHINGLE) -> t
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) for each row in order."""
-    for first, to, raw, offs in slices(column):
+    for first, to, raw, offs in slices(column, SHINGLE_SLICE):
         words, _, bounds = word_hashes(raw, offs)
         hashes, at = shingle_hashes(words, bounds, k)
         for r in range(to - first):

@@ -297,7 +297,7 @@ def plausible(documents: DataFrame, pairs: DataFrame) -> DataFrame:
 
     left = found.select(F.col("doc").alias("u"), F.col("digest").alias("a"))
     right = found.select(F.col("doc").alias("v"), F.col("digest").alias("b"))
-    return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long").distinct()
+    return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(releasing(check), "u long, v long").distinct()
 
 
 def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
