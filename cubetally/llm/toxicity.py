@@ -32,6 +32,8 @@ BITS = 20
 PER_CLASS = 2500
 Z_LEAST = 4.0
 MOST_FEATURES = 30_000
+BLOCK_ENTRIES = 1 << 19
+SLICE = 1 << 20
 THRESHOLD = 0.7
 
 
@@ -56,17 +58,23 @@ def fit(texts: pa.Array, y: np.ndarray, smooth: float = 1.0, l2: float = 1e-3, s
         chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")[:MOST_FEATURES]])
     index = np.full(1 << BITS, -1, np.int32)
     index[chosen] = np.arange(len(chosen))
-    cols = [(c := index[b])[c >= 0] for b in rows]
-    sizes = np.array([len(c) for c in cols])
-    flat, owner = np.concatenate(cols).astype(np.int64), np.repeat(np.arange(len(cols)), sizes)
+    rows = [(c := index[b])[c >= 0] for b in rows]
+    # entries in blocks of documents: (first document, end, features, document of each entry)
+    upto = np.append(0, np.cumsum([len(c) for c in rows]))
+    edges = np.unique(np.append(np.searchsorted(upto, np.arange(0, upto[-1], BLOCK_ENTRIES)), [0, len(rows)]))
+    blocks = [(i, j, np.concatenate(rows[i:j]), np.repeat(np.arange(j - i, dtype=np.int32), np.diff(upto[i : j + 1]))) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+    del rows
     scale = ratio[chosen]
-    value = scale[flat]
     w, bias, m_w, v_w, m_b, v_b = np.zeros(len(chosen)), 0.0, np.zeros(len(chosen)), np.zeros(len(chosen)), 0.0, 0.0
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     for step in range(1, steps + 1):  # Adam on the whole sample: a fixed number of steps, no random order
-        logit = np.bincount(owner, value * w[flat], len(y)) + bias
-        g = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) * weight
-        gw, gb = np.bincount(flat, value * g[owner], len(chosen)) + l2 / len(y) * w, g.sum()
+        scaled, gw, gb = scale * w, np.zeros(len(chosen)), 0.0
+        for i, j, features, owner in blocks:
+            logit = np.bincount(owner, scaled[features], j - i) + bias
+            g = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y[i:j]) * weight[i:j]
+            gw += np.bincount(features, g[owner], len(chosen))
+            gb += g.sum()
+        gw = gw * scale + l2 / len(y) * w
         m_w, v_w = 0.9 * m_w + 0.1 * gw, 0.999 * v_w + 0.001 * gw * gw
         m_b, v_b = 0.9 * m_b + 0.1 * gb, 0.999 * v_b + 0.001 * gb * gb
         rate, c1, c2 = 0.02, 1 - 0.9**step, 1 - 0.999**step
@@ -93,7 +101,7 @@ class Model:
             self._table = np.zeros(1 << BITS, np.int32)
             self._table[self.buckets] = np.arange(1, len(self.buckets) + 1)
         out = np.full(len(column), self.bias)
-        for first, to, raw, offs in slices(column):
+        for first, to, raw, offs in slices(column, SLICE):
             points, at = cf.characters(raw, offs)
             points = cf.fold(points)
             rows = np.repeat(np.arange(to - first), np.diff(at))
